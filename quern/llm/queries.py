@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, lsh_forest, mixing, sharding, simhash, warc
+from . import bpe, exact_topk, license, lsh_forest, mixing, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark, sf_dir):
+    return substring.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,6 +25,14 @@ def op3_bpe(spark, sf_dir):
     return bpe.document_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_license(spark, sf_dir):
+    return license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lsh_forest(spark, sf_dir):
     return lsh_forest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -42,7 +54,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe, op6_lsh_forest, op7_warc, op8_exact_topk, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_mixing, op3_bpe, op4_license, op5_toxicity, op6_lsh_forest, op7_warc, op8_exact_topk, op9_simhash, op10_sharding)}
 
 #: Words of a text, as the operators count them.
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
@@ -80,6 +92,25 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, (q.size
 FROM queued q LEFT JOIN whole h ON q.doc_id IS NOT DISTINCT FROM h.doc_id AND q.source IS NOT DISTINCT FROM h.source AND q.size = h.size AND q.upto = h.upto
 """
 
+_OP1 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)
+), f AS (
+  SELECT gram, min(doc_id) AS first FROM g GROUP BY gram
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS word_at FROM (SELECT g.doc_id, i FROM g JOIN f USING (gram) WHERE first < g.doc_id), range(13) r(j)
+), marks AS (
+  SELECT doc_id, list(word_at) AS gone FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, words, CASE WHEN gone IS NULL THEN words ELSE (
+    SELECT coalesce(list(words[i] ORDER BY i), []) FROM range(1, len(words) + 1) s(i) WHERE NOT list_contains(gone, i)) END AS rest
+  FROM w LEFT JOIN marks USING (doc_id)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(rest))::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
 _OP7 = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -110,4 +141,4 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op2_mixing": _OP2, "op7_warc": _OP7, "op8_exact_topk": _OP8}
+ORACLE_SQL = {"op1_substring": _OP1, "op2_mixing": _OP2, "op7_warc": _OP7, "op8_exact_topk": _OP8}

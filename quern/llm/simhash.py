@@ -137,6 +137,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _present(name: str, df: DataFrame):
+    """The column, null where it is a struct whose first field is null (min skips nulls)."""
+    kind = df.schema[name].dataType
+    return F.when(F.col(f"{name}.{kind.names[0]}").isNotNull(), F.col(name)) if hasattr(kind, "names") else F.col(name)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """Per row: id, fp (signed long) and component_id, the smallest id reachable over links of at most max_bits bits.
 
@@ -146,9 +152,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     fps = shared_table(spark, fingerprints(docs, id_col, text_col), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    distinct = fps.groupBy("fp").agg(F.min(_present("id", fps)).alias("rep"))
     linked = components(spark, links(distinct, max_bits, cell_limit))
     rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     per_fp = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(per_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+    """One row of each component, with the input's columns: that of the smallest id, one of its repetitions.
+
+    Rows without an id stay only where their component has no id at all.
+    """
+    marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    key = F.struct(F.col(id_col).alias("id"), F.col("_text_hash").alias("hash"))
+    found = simhash_components(marked.withColumn("_key", key), "_key", text_col, max_bits)
+    kept = found.filter(F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash")).distinct()
+    joined = marked.join(kept, marked[id_col].eqNullSafe(F.col("_id")) & (marked["_text_hash"] == F.col("_hash")))
+    return joined.dropDuplicates(["_id", "_hash"]).select(*[marked[c] for c in docs.columns])

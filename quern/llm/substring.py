@@ -363,6 +363,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows with repeated spans cut from their texts. Texts without such spans stay as they are; rows that had words and
     have none left are not returned. See `dedup_digests` for nulls and ties."""
+    columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def finish(left: pa.Table, block: Block, covered: dict[int, np.ndarray]) -> pa.Table:
@@ -372,7 +373,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
             keep[i] = not gone.all()
             texts[i] = cut(texts[i], gone)
         where = left.schema.get_field_index(text_col)
-        t = left.select(docs.columns).set_column(where, text_col, pa.array(texts, left.schema.field(text_col).type))
+        t = left.select(columns).set_column(where, text_col, pa.array(texts, left.schema.field(text_col).type))
         return t.filter(pa.array(keep))
 
     return _blocks(docs, id_col, text_col, threshold, schema, finish)

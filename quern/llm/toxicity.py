@@ -20,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_table
+from .common import gram_hashes, hash_words, prepare, shared_table
 
 #: Labelled rows that the lexicon and the score are fitted on, at most (half of each label where there are as many).
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: Entries of the lexicon, at most.
 LEXICON = 400
 #: Lengths of stems, in characters.
 STEMS = (4, 5, 6)
-#: Toxic documents of the sample that an entry occurs in, at least.
-SUPPORT = 4
+#: Toxic documents of the sample that an entry occurs in, at least: this many, and this share of them. Copies count once.
+SUPPORT, SUPPORT_SHARE = 4, 0.02
 #: Smoothed log-odds of an entry, at least.
-LOG_ODDS = 2.0
+LOG_ODDS = 3.0
 #: From this length on a term may have one wrong letter.
 FUZZY_FROM = 5
 #: Words to each side that make a hit's context, and what a hit counts there if it is quoted.
@@ -164,7 +164,8 @@ def held_out(id_col):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of at most SAMPLE_ROWS labelled rows that are not held out: per label the rows of the smallest hashes."""
+    """(text, toxic) of at most SAMPLE_ROWS labelled rows that are not held out: per label the rows of the smallest hashes.
+    Of texts with the same smallest hash of five words, which near copies mostly have, one stays."""
     ids = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("_id")))
     ids = ids.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     half = SAMPLE_ROWS // 2
@@ -172,7 +173,19 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     for label in (0, 1):
         part = ids.filter(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(half)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+
+    def sign(batches):
+        for b in batches:
+            keys = []
+            for text in b.column(1).to_pylist():
+                h = gram_hashes(hash_words((text or "").encode("utf-8", "surrogatepass").split()), 5)
+                keys.append(int(h.min() >> np.uint64(1)) if len(h) else zlib.crc32((text or "").encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), b.column(1), b.column(2)], ["id", "sign", "text", "toxic"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = found.select("_id", "text", "toxic").mapInArrow(sign, f"id {kind}, sign long, text string, toxic int")
+    return signed.groupBy("sign", "toxic").agg(F.min(F.struct("id", "text")).alias("one")).select("one.text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Entry], tuple[float, ...]]:
@@ -201,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counted = sample.mapInArrow(count, "term string, stem boolean, good long, bad long").groupBy("term", "stem").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    support = max(SUPPORT, bad // 300)
+    support = max(SUPPORT, int(SUPPORT_SHARE * bad))
     best = counted.filter(F.col("bad") >= support).withColumn("odds", odds).filter(F.col("odds") >= LOG_ODDS)
     rows = best.orderBy((F.col("odds") * F.sqrt(F.col("bad"))).desc(), "term", "stem").limit(4 * LEXICON).collect()
     entries: list[Entry] = []
