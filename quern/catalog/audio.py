@@ -1 +1,105 @@
+"""Clips: the values of events per user in the order of time; mel scales and filter banks."""
 
+from pyspark.sql import functions as F
+
+from ..functions import audio as fa
+from ..operators import audio as op
+from ..plans.audio import MelSpectrogram, WaveformProcessor, WhisperFeatures
+from . import query, table
+
+_C = "c AS (SELECT user_id, list(value::FLOAT ORDER BY ts, event_id) AS samples FROM events GROUP BY user_id)"
+SMALL = MelSpectrogram(n_fft=16, win_length=16, hop_length=4, n_mels=4, f_max=8000.0)
+
+
+def clips(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("value").cast("float").alias("v")))).alias("x"))
+    return rows.select("user_id", F.lit(16000).alias("sample_rate"), F.transform("x", lambda s: s["v"]).alias("samples"))
+
+
+@query(f"WITH {_C} SELECT user_id, len(samples) / 16000.0::DOUBLE AS secs FROM c")
+def audio_duration(spark, sf_dir):
+    return clips(spark, sf_dir).select("user_id", fa.duration_secs(F.col("samples"), F.col("sample_rate")).alias("secs"))
+
+
+@query(
+    f"""WITH {_C}, m AS (SELECT user_id, samples, list_sum(list_transform(samples, lambda v: v::DOUBLE)) / len(samples) AS mean FROM c),
+    s AS (SELECT *, sqrt(list_sum(list_transform(samples, lambda v: (v::DOUBLE - mean) * (v::DOUBLE - mean))) / len(samples) + 1e-7::DOUBLE) AS sd FROM m)
+    SELECT user_id, i::INT AS pos, round(CASE WHEN i < len(samples) THEN (samples[i + 1]::DOUBLE - mean) / sd ELSE 0 END, 3) AS v, CASE WHEN i < len(samples) THEN 1 ELSE 0 END AS mask FROM s, range(64) r(i)"""
+)
+def waveform_normalize(spark, sf_dir):
+    done = op.waveforms(clips(spark, sf_dir), WaveformProcessor(length=64))
+    return done.select("user_id", F.posexplode(F.arrays_zip("values", "mask")).alias("pos", "z")).select("user_id", "pos", F.round(F.col("z.values").cast("double"), 3).alias("v"), F.col("z.mask").alias("mask"))
+
+
+@query(f"WITH {_C} SELECT user_id, i::INT AS pos, CASE WHEN i < len(samples) THEN samples[i + 1] ELSE 0::FLOAT END AS v FROM c, range(32) r(i)")
+def waveform_pad(spark, sf_dir):
+    return clips(spark, sf_dir).select("user_id", F.posexplode(fa.pad_or_truncate(F.col("samples"), 32)).alias("pos", "v"))
+
+
+_MEL = {
+    "htk": "2595.0::DOUBLE * log10(1 + f / 700.0::DOUBLE)",
+    "kaldi": "1127.0::DOUBLE * ln(1 + f / 700.0::DOUBLE)",
+    "slaney": "CASE WHEN f < 1000 THEN 3 * f / 200.0::DOUBLE ELSE 15 + ln(f / 1000.0::DOUBLE) * (27 / ln(6.4::DOUBLE)) END",
+}
+
+
+@query("WITH f AS (SELECT i::INT AS i, i * 50.0::DOUBLE AS f FROM range(161) r(i)) SELECT i, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _MEL.items()) + ", f AS back FROM f")
+def mel_scales(spark, sf_dir):
+    f = spark.range(161).select(F.col("id").cast("int").alias("i"), (F.col("id") * 50.0).alias("f"))
+    return f.select("i", *[F.round(fa.hz_to_mel(F.col("f"), s), 6).alias(s) for s in _MEL], F.round(fa.mel_to_hz(fa.hz_to_mel(F.col("f"), "slaney"), "slaney"), 6).alias("back"))
+
+
+def _bank(p):
+    top = f"(SELECT {_MEL['slaney']} FROM (SELECT {p.f_max}::DOUBLE AS f))"
+    edge = f"(CASE WHEN j = {p.n_mels + 1} THEN {top} ELSE j * ({top} / {p.n_mels + 1}) END)"
+    hz = f"CASE WHEN {edge} < 15 THEN 200 * {edge} / 3.0::DOUBLE ELSE 1000 * exp(({edge} - 15) * (ln(6.4::DOUBLE) / 27)) END"
+    return f"""edges AS (SELECT j, {hz} AS hz FROM range({p.n_mels + 2}) r(j)),
+    bank AS (SELECT b::INT AS bin, a.j::INT AS mel, greatest(0, least((b * {p.sample_rate // 2}::DOUBLE / {p.n_fft // 2} - a.hz) / (m.hz - a.hz), (z.hz - b * {p.sample_rate // 2}::DOUBLE / {p.n_fft // 2}) / (z.hz - m.hz))) * 2 / (z.hz - a.hz) AS w
+      FROM range({p.n_fft // 2 + 1}) r(b), edges a JOIN edges m ON m.j = a.j + 1 JOIN edges z ON z.j = a.j + 2)"""
+
+
+_WHISPER = MelSpectrogram.whisper(80)
+
+
+@query(f"WITH {_bank(_WHISPER)} SELECT bin, mel, round(w, 9) AS w FROM bank WHERE w > 1e-9")
+def mel_filter_bank(spark, sf_dir):
+    return fa.filter_bank(spark, _WHISPER).filter("w > 1e-9").select("bin", "mel", F.round("w", 9).alias("w"))
+
+
+_FRAMES = f"""{_C}, x AS (SELECT user_id, list_transform(range(len(samples) + 16), lambda i:
+  samples[(CASE WHEN i < 8 THEN least(8 - i, len(samples) - 1) WHEN i < 8 + len(samples) THEN i - 8 ELSE greatest(len(samples) - 2 - (i - 8 - len(samples)), 0) END) + 1]) AS p FROM c),
+fr AS (SELECT user_id, k::INT AS frame, p[4 * k + 1 : 4 * k + 16] AS v FROM x, LATERAL (SELECT unnest(range((len(p) - 16) // 4 + 1)) AS k))"""
+
+
+@query(f"WITH {_FRAMES} SELECT user_id, frame, i::INT AS pos, v[i + 1] AS v FROM fr, range(16) r(i)")
+def stft_frames(spark, sf_dir):
+    return fa.frames(clips(spark, sf_dir), ["user_id"], "samples", SMALL).select("user_id", "frame", F.posexplode("values").alias("pos", "v"))
+
+
+_POWER = f"""{_FRAMES}, basis AS (SELECT b::INT AS bin, list((0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 16)) * cos(2 * pi() * b * n / 16) ORDER BY n) AS re, list((0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 16)) * sin(2 * pi() * b * n / 16) ORDER BY n) AS im FROM range(9) r(b), range(16) s(n) GROUP BY b),
+pw AS (SELECT user_id, frame, bin, list_dot_product(v::DOUBLE[], re)::FLOAT::DOUBLE ** 2 + list_dot_product(v::DOUBLE[], im)::FLOAT::DOUBLE ** 2 AS p FROM fr, basis)"""
+
+
+@query(f"WITH {_POWER}, {_bank(SMALL)}, e AS (SELECT user_id, frame, mel, sum(p * w) AS s FROM pw JOIN bank USING (bin) GROUP BY ALL) SELECT user_id, mel, frame, round(log10(greatest(s, 1e-10::DOUBLE)), 2) AS v FROM e WHERE s > 1e-4")
+def log_mel(spark, sf_dir):
+    done = op.mel_spectrogram(clips(spark, sf_dir), SMALL)
+    n = F.get("mel.shape", F.lit(1))
+    rows = done.select("user_id", n.alias("n"), F.posexplode("mel.data").alias("i", "v")).filter("v > -4")
+    return rows.select("user_id", F.floor(F.col("i") / F.col("n")).cast("int").alias("mel"), (F.col("i") % F.col("n")).cast("int").alias("frame"), F.round(F.col("v").cast("double"), 2).alias("v"))
+
+
+@query(
+    f"""WITH {_C}, o AS (SELECT user_id, samples, unnest(range(floor(len(samples) * (11025.0::DOUBLE / 16000) + 0.5)::BIGINT)) AS i FROM c),
+    t AS (SELECT *, i / (11025.0::DOUBLE / 16000) AS t0, 32 / (11025.0::DOUBLE / 16000 * 0.97::DOUBLE) AS half, 11025.0::DOUBLE / 16000 * 0.97::DOUBLE AS cut FROM o)
+    SELECT user_id, i::INT AS pos, round(list_sum(list_transform(range(greatest(ceil(t0 - half), 0)::BIGINT, least(floor(t0 + half), len(samples) - 1)::BIGINT + 1), lambda k:
+      samples[k + 1]::DOUBLE * cut * (CASE WHEN t0 = k THEN 1.0::DOUBLE ELSE sin(pi() * cut * (t0 - k)) / (pi() * cut * (t0 - k)) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * (t0 - k) / half))))::FLOAT::DOUBLE, 2) AS v FROM t"""
+)
+def resample_audio(spark, sf_dir):
+    done = op.resample(clips(spark, sf_dir), 11025)
+    return done.select("user_id", F.posexplode("samples").alias("pos", "v")).select("user_id", "pos", F.round(F.col("v").cast("double"), 2).alias("v"))
+
+
+@query("SELECT DISTINCT user_id, '80,3000' AS shape FROM events")
+def whisper_shape(spark, sf_dir):
+    done = op.whisper_features(clips(spark, sf_dir), WhisperFeatures(80))
+    return done.select("user_id", F.array_join(F.transform("features.shape", lambda v: v.cast("string")), ",").alias("shape"))

@@ -10,7 +10,7 @@ from . import query, table
 # Expressions for both engines.
 BOXES = {
     "img_id": "l_suppkey",
-    "idx": "(l_orderkey * 8 + l_linenumber) * 100000 + l_partkey",
+    "idx": "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1024 + CAST(l_quantity AS BIGINT) * 16 + CAST(floor(l_discount * 100 + 0.5) AS BIGINT)",
     "x1": "CAST((l_partkey * 37 + l_orderkey * 11) % 600 AS FLOAT)",
     "y1": "CAST((l_orderkey * 53 + l_linenumber * 7) % 440 AS FLOAT)",
     "w": "CAST(20 + l_quantity * 3 AS FLOAT)",

@@ -1 +1,114 @@
+"""Text-box geometry: quads of part, 8 x 8 maps of embeddings, hashed images of supplier."""
 
+from pyspark.sql import functions as F
+
+from ..kernels.ocr import DbDecoder
+from ..operators import ocr as op
+from . import query, table
+from .images import images
+
+# Four corners in any order, for both engines.
+_X = ["(p_partkey * 13) % 200", "(p_partkey * 13) % 200 + 20 + p_size", "(p_partkey * 13) % 200 + 25 + p_size", "(p_partkey * 13) % 200 + 3"]
+_Y = ["(p_partkey * 7) % 150", "(p_partkey * 7) % 150 + 4 + p_partkey % 5", "(p_partkey * 7) % 150 + 14 + p_size % 9", "(p_partkey * 7) % 150 + 11"]
+_TURN = [[(i * s + r) % 4 for i in range(4)] for r, s in ((0, 1), (1, 1), (2, 3), (3, 3))]
+
+
+def quads(spark, sf_dir):
+    q = lambda order: "array(" + ", ".join(f"named_struct('x', CAST({_X[i]} AS FLOAT), 'y', CAST({_Y[i]} AS FLOAT))" for i in order) + ")"
+    cases = " ".join(f"WHEN {k} THEN {q(o)}" for k, o in enumerate(_TURN))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE p_partkey % 4 {cases} END AS quad")
+
+
+_Q = "q AS (SELECT p_partkey, CASE p_partkey % 4 " + " ".join("WHEN " + str(k) + " THEN [" + ", ".join(f"struct_pack(x := CAST({_X[i]} AS FLOAT), y := CAST({_Y[i]} AS FLOAT))" for i in o) + "]" for k, o in enumerate(_TURN)) + " END AS quad FROM part)"
+
+
+def flat(df, quad, *keys):
+    return df.select(*keys, *[F.get(quad, F.lit(i))[c].alias(f"{c}{i}") for i in range(4) for c in ("x", "y")])
+
+
+@query(
+    f"""WITH {_Q}, s AS (SELECT p_partkey, list_sort(list_transform(quad, lambda v, i: struct_pack(x := v.x, i := i, y := v.y))) AS p FROM q),
+    o AS (SELECT p_partkey, CASE WHEN p[2].y > p[1].y THEN [p[1], p[2]] ELSE [p[2], p[1]] END AS l, CASE WHEN p[4].y > p[3].y THEN [p[3], p[4]] ELSE [p[4], p[3]] END AS r FROM s)
+    SELECT p_partkey, l[1].x AS x0, l[1].y AS y0, r[1].x AS x1, r[1].y AS y1, r[2].x AS x2, r[2].y AS y2, l[2].x AS x3, l[2].y AS y3 FROM o"""
+)
+def order_corners(spark, sf_dir):
+    return flat(quads(spark, sf_dir).withColumn("o", op.order_corners(F.col("quad"))), F.col("o"), "p_partkey")
+
+
+def _edges():
+    """Per corner: its point, edge direction and outward normal; in wide form over the quad's four rows."""
+    return f"""{_Q}, e AS (SELECT p_partkey, i, quad[i].x::DOUBLE AS x, quad[i].y::DOUBLE AS y, quad[i % 4 + 1].x::DOUBLE AS nx, quad[i % 4 + 1].y::DOUBLE AS ny FROM q, range(1, 5) r(i)),
+    l AS (SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len FROM e),
+    t AS (SELECT p_partkey, sum(len ORDER BY i) AS around, sum(x * ny - nx * y ORDER BY i) AS turn FROM l GROUP BY p_partkey),
+    d AS (SELECT l.*, abs(turn) / 2 * 1.5::DOUBLE / around AS away, CASE WHEN turn > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, (nx - x) / greatest(len, 1e-6::DOUBLE) AS dx, (ny - y) / greatest(len, 1e-6::DOUBLE) AS dy FROM l JOIN t USING (p_partkey)),
+    m AS (SELECT *, x + away * dy * sign AS mx, y - away * dx * sign AS my, dy * sign AS ox, -dx * sign AS oy FROM d),
+    c AS (SELECT a.p_partkey, a.i, b.dx * a.dy - b.dy * a.dx AS cr, a.x, a.y, a.away, a.mx, a.my, a.dx, a.dy, a.ox, a.oy, b.mx AS sx, b.my AS sy, b.dx AS ex, b.dy AS ey, b.ox AS px, b.oy AS py FROM m a JOIN m b ON a.p_partkey = b.p_partkey AND b.i = (a.i + 2) % 4 + 1)"""
+
+
+@query(
+    f"""WITH {_edges()} SELECT p_partkey, (i - 1)::INT AS corner,
+    round((CASE WHEN abs(cr) < 1e-6 THEN x + 0.5::DOUBLE * away * (px + ox) ELSE sx + ex * ((mx - sx) * dy - (my - sy) * dx) / cr END)::FLOAT::DOUBLE, 3) AS x,
+    round((CASE WHEN abs(cr) < 1e-6 THEN y + 0.5::DOUBLE * away * (py + oy) ELSE sy + ey * ((mx - sx) * dy - (my - sy) * dx) / cr END)::FLOAT::DOUBLE, 3) AS y FROM c"""
+)
+def unclip(spark, sf_dir):
+    done = quads(spark, sf_dir).select("p_partkey", F.posexplode(op.unclip(F.col("quad"), 1.5)).alias("corner", "p"))
+    return done.select("p_partkey", "corner", F.round(F.col("p.x").cast("double"), 3).alias("x"), F.round(F.col("p.y").cast("double"), 3).alias("y"))
+
+
+def maps(spark, sf_dir, data):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), data(F.col("embedding")).alias("data")))
+
+
+@query("SELECT vec_id, round(avg(abs(embedding[8 * y + x + 1])::FLOAT::DOUBLE)::FLOAT::DOUBLE, 6) AS box_score FROM embeddings, range(1, 6) a(y), range(2, 8) b(x) GROUP BY vec_id")
+def box_score(spark, sf_dir):
+    rows = maps(spark, sf_dir, lambda e: F.transform(e, lambda v: F.abs(v))).toDF("vec_id", "prob")
+    quad = F.array(*[F.struct(F.lit(x).cast("float").alias("x"), F.lit(y).cast("float").alias("y")) for x, y in ((2, 1), (7, 1), (7, 5), (2, 5))])
+    return op.box_score(rows.withColumn("quad", quad)).select("vec_id", F.round(F.col("box_score").cast("double"), 6).alias("box_score"))
+
+
+@query("SELECT p_partkey, y::INT AS y, x::INT AS x FROM part, range(0, 24) a(y), range(0, 32) b(x) WHERE x BETWEEN p_partkey % 20 AND p_partkey % 20 + p_size % 17 AND y BETWEEN p_partkey % 13 AND p_partkey % 13 + p_size % 11")
+def fill_poly(spark, sf_dir):
+    """Upright rectangles, partly outside a 32 x 24 image."""
+    x0, y0 = F.col("p_partkey") % 20, F.col("p_partkey") % 13
+    x1, y1 = x0 + F.col("p_size") % 17, y0 + F.col("p_size") % 11
+    corner = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    return op.fill_poly(table(spark, sf_dir, "part").select("p_partkey", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points")), 32, 24)
+
+
+@query(None)
+def fill_poly_quads(spark, sf_dir):
+    return op.fill_poly(quads(spark, sf_dir).select("p_partkey", F.transform("quad", lambda p: F.struct(p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"))).alias("points")), 240, 160)
+
+
+@query(None)
+def reading_order(spark, sf_dir):
+    q = quads(spark, sf_dir).select(F.col("p_partkey") % 40, F.col("p_partkey"), op.order_corners(F.col("quad"))).toDF("page", "idx", "quad")
+    return op.reading_order(q, ["page"])
+
+
+@query(None)
+def find_contours(spark, sf_dir):
+    rows = maps(spark, sf_dir, lambda e: F.transform(e, lambda v: F.when(v > 0, 1.0).otherwise(0.0).cast("float"))).toDF("vec_id", "mask")
+    done = op.find_contours(rows)
+    return done.select("vec_id", "idx", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"))
+
+
+@query(None)
+def min_area_rect(spark, sf_dir):
+    done = op.min_area_rect(quads(spark, sf_dir), "quad")
+    return flat(done, F.col("corners"), "p_partkey", F.round("width", 3).alias("width"), F.round("height", 3).alias("height"))
+
+
+@query(None)
+def db_decode(spark, sf_dir):
+    rows = maps(spark, sf_dir, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.get(e, F.floor(y / 4).cast("int") * 8 + F.floor(x / 4).cast("int"))))))
+    rows = rows.toDF("vec_id", "p").select("vec_id", F.struct(F.lit(32).alias("h"), F.lit(32).alias("w"), F.col("p.data").alias("data")).alias("prob"), F.lit(128).alias("width"), F.lit(64).alias("height"))
+    done = op.db_decode(rows, DbDecoder(threshold=0.05, box_threshold=0.08))
+    return flat(done, F.col("quad"), "vec_id", "idx", F.round("score", 5).alias("score"))
+
+
+@query(None)
+def crop_text_line(spark, sf_dir):
+    quad = F.array(*[F.struct((F.lit(x) + F.col("img_id") % 3).cast("float").alias("x"), (F.lit(y) + F.col("img_id") % 2).cast("float").alias("y")) for x, y in ((1, 2), (11, 3), (11, 8), (1, 7))])
+    done = op.crop_text_lines(images(spark, sf_dir).withColumn("quad", quad))
+    return done.select("img_id", "line.width", "line.height", F.hex("line.data").alias("pixels"))

@@ -1 +1,134 @@
+"""Words of documents and conversations against vocabularies of ranked words; SentencePiece models made in code."""
 
+from pyspark.sql import functions as F
+
+from ..kernels.sentencepiece import SentencePiece
+from ..operators import text as op
+from ..plans.text import TextOptions
+from . import query, table
+
+_SPLIT = "list_filter(string_split(text, ' '), lambda w: w <> '')"
+#: 0 pad, 1 first, 2 last, 3 unknown, then the 2,000 most common words of the documents.
+_VOCAB = f"""cw AS (SELECT unnest({_SPLIT}) AS piece FROM documents),
+vocab AS (SELECT piece, 3 + row_number() OVER (ORDER BY count(*) DESC, piece) AS id FROM cw GROUP BY piece QUALIFY id <= 2003)"""
+_IDS = f"""ids AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY pos) AS ids FROM (SELECT doc_id, unnest(w) AS piece, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_SPLIT} AS w FROM documents)) LEFT JOIN vocab USING (piece) GROUP BY doc_id)"""
+_TEXT = "array_to_string(list_transform({}, lambda v: v::VARCHAR), ' ')"
+
+
+def vocabulary(spark, sf_dir):
+    counted = op.words(table(spark, sf_dir, "documents"), ["doc_id"]).groupBy("piece").count()
+    top = counted.orderBy(F.col("count").desc(), "piece").limit(2000)
+    from pyspark.sql import Window
+
+    return top.select("piece", (F.row_number().over(Window.orderBy(F.col("count").desc(), "piece")) + 3).cast("long").alias("id"))
+
+
+def joined(ids):
+    return F.array_join(F.transform(ids, lambda v: v.cast("string")), " ")
+
+
+def encoded(spark, sf_dir):
+    rows = op.lookup(op.words(table(spark, sf_dir, "documents"), ["doc_id"]), F.broadcast(vocabulary(spark, sf_dir)), 3)
+    return op.collected(rows, ["doc_id"])
+
+
+@query(f"WITH {_VOCAB}, {_IDS} SELECT doc_id, {_TEXT.format('ids')} AS ids FROM ids")
+def wordlevel_encode(spark, sf_dir):
+    return encoded(spark, sf_dir).select("doc_id", joined("ids").alias("ids"))
+
+
+@query(f"WITH {_VOCAB}, {_IDS} SELECT doc_id, {_TEXT.format('list_concat([1], ids[1:62], [2])')} AS ids FROM ids")
+def encode_truncated(spark, sf_dir):
+    return encoded(spark, sf_dir).select("doc_id", joined(op.truncated(F.col("ids"), 64, [1], [2])).alias("ids"))
+
+
+def _padded(length):
+    return f"""WITH {_VOCAB}, {_IDS}, t AS (SELECT doc_id, doc_id % 10 AS batch, list_concat([1], ids[1:62], [2]) AS ids FROM ids), n AS (SELECT *, {length} AS n FROM t)
+    SELECT doc_id, {_TEXT.format("list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0))")} AS ids, len(ids)::INT AS ones FROM n"""
+
+
+def _batch(spark, sf_dir, padding):
+    rows = encoded(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10).alias("batch"), op.truncated(F.col("ids"), 64, [1], [2]).alias("ids"))
+    done = op.pad_batch(rows, TextOptions(padding=padding), 0, ["batch"])
+    return done.select("doc_id", joined("ids").alias("ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, v: s + v).cast("int").alias("ones"))
+
+
+@query(_padded("64"))
+def encode_padded_fixed(spark, sf_dir):
+    return _batch(spark, sf_dir, 64)
+
+
+@query(_padded("max(len(ids)) OVER (PARTITION BY batch)"))
+def encode_padded_longest(spark, sf_dir):
+    return _batch(spark, sf_dir, "longest")
+
+
+_CIDS = f"""c AS (SELECT conv_id, turn, w[i] AS piece, i AS pos FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, {_SPLIT} AS w FROM conversations))),
+k AS (SELECT conv_id, turn, pos, coalesce(id, 3) AS id, lag(coalesce(id, 3)) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM c LEFT JOIN vocab USING (piece))"""
+
+
+def conversation_ids(spark, sf_dir):
+    return op.lookup(op.words(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]), F.broadcast(vocabulary(spark, sf_dir)), 3)
+
+
+@query(f"WITH {_VOCAB}, {_CIDS} SELECT conv_id, turn, {_TEXT.format('list(id ORDER BY pos)')} AS ids FROM k WHERE NOT (id = 3 AND before IS NOT DISTINCT FROM 3) GROUP BY conv_id, turn")
+def unk_merge(spark, sf_dir):
+    rows = op.merge_unknown(conversation_ids(spark, sf_dir), ["conv_id", "turn"], 3)
+    return op.collected(rows, ["conv_id", "turn"]).select("conv_id", "turn", joined("ids").alias("ids"))
+
+
+@query(f"WITH {_VOCAB}, {_CIDS} SELECT conv_id, turn, string_agg(piece, ' ' ORDER BY pos) AS text FROM k JOIN vocab USING (id) GROUP BY conv_id, turn")
+def decode_ids(spark, sf_dir):
+    return op.decode_ids(conversation_ids(spark, sf_dir), F.broadcast(vocabulary(spark, sf_dir)), ["conv_id", "turn"])
+
+
+@query("SELECT doc_id, lower(text) AS text FROM documents")
+def lowercase(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+
+
+def model(kind: str) -> SentencePiece:
+    """A small model: bytes, letters, and pairs and triples of frequent ones."""
+    pieces, scores, kinds = ["<unk>", "<s>", "</s>"], [0.0, 0.0, 0.0], ["unknown", "control", "control"]
+    for b in range(256):
+        pieces.append(f"<0x{b:02X}>")
+        scores.append(0.0)
+        kinds.append("byte")
+    letters = "▁etaonirshdlucmfgpwyb"
+    own = [*letters, *(a + b for a in letters for b in letters[1:] if a != b), *("▁" + a + b for a in letters[1:9] for b in letters[1:9])]
+    for i, p in enumerate(own):
+        pieces.append(p)
+        scores.append(-float(i + 1) if kind == "bpe" else -2.0 - 0.01 * i - 2.5 * (len(p) - 1))
+        kinds.append("normal")
+    return SentencePiece(pieces, scores, kinds, kind, byte_fallback=True)
+
+
+def _encoded(kind):
+    def run(spark, sf_dir):
+        import pyarrow as pa
+
+        from ..session import prepare
+
+        prepare(spark)
+
+        def encode(batches):
+            m = model(kind)
+            for b in batches:
+                ids = [m.encode(t or "") for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(map(str, x)) for x in ids], pa.string()), pa.array([m.decode(x) for x in ids], pa.string())], ["conv_id", "turn", "ids", "decoded"])
+
+        return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInArrow(encode, "conv_id long, turn long, ids string, decoded string")
+
+    return run
+
+
+query(None, "sp_unigram_encode")(_encoded("unigram"))
+query(None, "sp_bpe_encode")(_encoded("bpe"))
+
+
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN s = '' THEN '' ELSE '▁' || replace(s, ' ', '▁') END AS normalized FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), ' +', ' ', 'g') AS s FROM conversations)"""
+)
+def sp_normalize(spark, sf_dir):
+    s = F.regexp_replace(F.regexp_replace("text", "^ +| +$", ""), " +", " ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(s == "", F.lit("")).otherwise(F.concat(F.lit("▁"), F.replace(s, F.lit(" "), F.lit("▁")))).alias("normalized"))

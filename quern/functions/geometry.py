@@ -98,14 +98,24 @@ def size_for_tiles(w, h, tile: int) -> Column:
     return F.when(w >= h, _ints(up(w), up(trunc(up(w) / aspect)))).otherwise(_ints(up(trunc(up(h) * aspect)), up(h)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; nested expressions would be written out again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tile_plan(w, h, longest: int, tile: int, splitting: bool = True) -> Column:
     """struct(scaled, padded, rows, cols): the sizes on the way to tiles, and the grid (0 x 0 if the image is one tile)."""
-    first = rescale_to_max(w, h, longest)
-    scaled = below_bound(first["width"], first["height"])
-    padded = size_for_tiles(scaled["width"], scaled["height"], tile) if splitting else exact(tile, tile)
-    split = F.lit(splitting) & ((padded["width"] > tile) | (padded["height"] > tile))
-    grid = lambda v: F.when(split, (v / tile).cast("int")).otherwise(0)
-    return F.struct(scaled.alias("scaled"), padded.alias("padded"), grid(padded["height"]).alias("rows"), grid(padded["width"]).alias("cols"))
+
+    def grid(scaled: Column, padded: Column) -> Column:
+        split = F.lit(splitting) & ((padded["width"] > tile) | (padded["height"] > tile))
+        count = lambda v: F.when(split, (v / tile).cast("int")).otherwise(0)
+        return F.struct(scaled.alias("scaled"), padded.alias("padded"), count(padded["height"]).alias("rows"), count(padded["width"]).alias("cols"))
+
+    def pad(scaled: Column) -> Column:
+        padded = size_for_tiles(scaled["width"], scaled["height"], tile) if splitting else exact(tile, tile)
+        return let(padded, lambda p: grid(scaled, p))
+
+    return let(rescale_to_max(w, h, longest), lambda f: let(below_bound(f["width"], f["height"]), pad))
 
 
 def has_global(rows, cols) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import f32
+from ..functions.geometry import let
 from ..kernels import ocr as k
 from ..session import prepare
 from .image import IMAGE_DDL, _PIXELS, pack
@@ -34,28 +35,56 @@ def order_corners(quad: Column) -> Column:
 
 
 def unclip(quad: Column, ratio: float) -> Column:
-    """A quad's edges moved outwards by area * ratio / perimeter."""
-    p = [(F.get(quad, F.lit(i))["x"].cast("double"), F.get(quad, F.lit(i))["y"].cast("double")) for i in range(4)]
-    e = [(p[(i + 1) % 4][0] - p[i][0], p[(i + 1) % 4][1] - p[i][1]) for i in range(4)]
-    length = [F.sqrt(x * x + y * y) for x, y in e]
-    around = length[0] + length[1] + length[2] + length[3]
-    turns = [p[i][0] * p[(i + 1) % 4][1] - p[(i + 1) % 4][0] * p[i][1] for i in range(4)]
-    turn = turns[0] + turns[1] + turns[2] + turns[3]
-    away = F.when(around > 0, F.abs(turn) / 2 * float(np.float32(ratio)) / F.when(around > 0, around)).otherwise(F.lit(0.0))
-    sign = F.when(turn > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    d = [(e[i][0] / F.greatest(length[i], F.lit(1e-6)), e[i][1] / F.greatest(length[i], F.lit(1e-6))) for i in range(4)]
-    n = [(d[i][1] * sign, -d[i][0] * sign) for i in range(4)]
-    out = []
-    for i in range(4):
-        j = (i + 3) % 4
-        sx, sy = p[j][0] + away * n[j][0], p[j][1] + away * n[j][1]
-        cross = d[j][0] * d[i][1] - d[j][1] * d[i][0]
-        flat = F.abs(cross) < 1e-6
-        t = ((p[i][0] + away * n[i][0] - sx) * d[i][1] - (p[i][1] + away * n[i][1] - sy) * d[i][0]) / F.when(flat, F.lit(1.0)).otherwise(cross)
-        x = F.when(flat, p[i][0] + 0.5 * away * (n[j][0] + n[i][0])).otherwise(sx + d[j][0] * t)
-        y = F.when(flat, p[i][1] + 0.5 * away * (n[j][1] + n[i][1])).otherwise(sy + d[j][1] * t)
-        out.append(F.struct(f32(x).alias("x"), f32(y).alias("y")))
-    return F.array(*out)
+    """A quad's edges moved outwards by area * ratio / perimeter; corners are where moved neighbours meet."""
+    four = F.sequence(F.lit(0), F.lit(3))
+    total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda s, v: s + f(v))
+
+    def edges(p):
+        def edge(i):
+            a, b = F.get(p, i), F.get(p, (i + 1) % 4)
+            ex, ey = b["x"] - a["x"], b["y"] - a["y"]
+            return F.struct(a["x"].alias("x"), a["y"].alias("y"), ex.alias("ex"), ey.alias("ey"), F.sqrt(ex * ex + ey * ey).alias("len"), (a["x"] * b["y"] - b["x"] * a["y"]).alias("turn"))
+
+        return F.transform(four, edge)
+
+    def moved(e):
+        around, turn = total(e, lambda v: v["len"]), total(e, lambda v: v["turn"])
+        away = F.when(around > 0, F.abs(turn) / 2 * float(np.float32(ratio)) / F.when(around > 0, around)).otherwise(F.lit(0.0))
+        whole = F.struct(away.alias("away"), F.when(turn > 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"))
+
+        def shift(w):
+            def one(v):
+                n = F.greatest(v["len"], F.lit(1e-6))
+                d = F.struct((v["ex"] / n).alias("x"), (v["ey"] / n).alias("y"))
+                return let(d, lambda u: F.struct(
+                    v["x"].alias("x"), v["y"].alias("y"), u["x"].alias("dx"), u["y"].alias("dy"), (u["y"] * w["sign"]).alias("ox"), (-u["x"] * w["sign"]).alias("oy"), w["away"].alias("away"),
+                    (v["x"] + w["away"] * (u["y"] * w["sign"])).alias("mx"), (v["y"] + w["away"] * (-u["x"] * w["sign"])).alias("my"),
+                ))
+
+            return F.transform(e, one)
+
+        return let(whole, shift)
+
+    def corners(m):
+        def corner(i):
+            def meet(v):
+                a, b = v["a"], v["b"]  # the edge before, and the edge at the corner
+                cross = a["dx"] * b["dy"] - a["dy"] * b["dx"]
+
+                def place(c):
+                    flat = F.abs(c) < 1e-6
+                    t = ((b["mx"] - a["mx"]) * b["dy"] - (b["my"] - a["my"]) * b["dx"]) / F.when(flat, F.lit(1.0)).otherwise(c)
+                    at = lambda p, o, s, d: F.when(flat, b[p] + 0.5 * b["away"] * (a[o] + b[o])).otherwise(a[s] + a[d] * t)
+                    return F.struct(f32(at("x", "ox", "mx", "dx")).alias("x"), f32(at("y", "oy", "my", "dy")).alias("y"))
+
+                return let(cross, place)
+
+            return let(F.struct(F.get(m, (i + 3) % 4).alias("a"), F.get(m, i).alias("b")), meet)
+
+        return F.transform(four, corner)
+
+    points = F.transform(quad, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y")))
+    return let(let(let(points, edges), moved), corners)
 
 
 def _rows(df: DataFrame, source: str, fields: str, kinds: list[tuple[str, pa.DataType]], f) -> DataFrame:

@@ -101,5 +101,5 @@ def collected(ids: DataFrame, key: list[str]) -> DataFrame:
 
 def decode_ids(ids: DataFrame, vocabulary: DataFrame, key: list[str], separator: str = " ") -> DataFrame:
     """(key, text): pieces by id, in order; ids that are not in the vocabulary are left out."""
-    found = ids.join(vocabulary.select("id", "piece"), "id")
+    found = ids.select(*key, "pos", "id").join(vocabulary.select("id", "piece"), "id")
     return found.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda v: v["piece"]), separator).alias("text"))
