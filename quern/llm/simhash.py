@@ -168,6 +168,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
     key = F.struct(F.col(id_col).alias("id"), F.col("_text_hash").alias("hash"))
     found = simhash_components(marked.withColumn("_key", key), "_key", text_col, max_bits)
-    kept = found.filter(F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash")).distinct()
+    kept = found.filter(F.col("component_id").isNull() | (F.col("_key") == F.col("component_id"))).select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash")).distinct()
     joined = marked.join(kept, marked[id_col].eqNullSafe(F.col("_id")) & (marked["_text_hash"] == F.col("_hash")))
     return joined.dropDuplicates(["_id", "_hash"]).select(*[marked[c] for c in docs.columns])

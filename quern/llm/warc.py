@@ -91,7 +91,9 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             if not parts[0].startswith("filedesc://"):
                 raise ArchiveError("no version block")
             body = stream.read(int(parts[-1]))
-            version = int(body[:1])
+            if len(body) != int(parts[-1]):
+                raise ArchiveError("the version block is cut short")
+            version = int(body[:1]) if body[:1].isdigit() else 0
             if version not in ARC_FIELDS:
                 raise ArchiveError(f"version {version}")
             continue
