@@ -129,8 +129,30 @@ class SuffixAutomaton:
         return out
 
 
+def _wrap(batches):
+    """The rows of each block in a batch as one compressed value: a shuffle then moves a few large rows."""
+    for b in batches:
+        block = b.column(b.num_columns - 1).to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        parts = np.split(order, cuts) if len(order) else []
+        values = []
+        for part in parts:
+            sink = pa.BufferOutputStream()
+            rows = b.take(pa.array(part))
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+                writer.write_batch(rows)
+            values.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_pydict({"_block": pa.array([int(block[p[0]]) for p in parts], pa.int32()), "rows": pa.array(values, pa.binary())})
+
+
+def _unwrap(column) -> pa.Table:
+    """The rows of wrapped values. Whoever numbers them sorts first: the values' order is that of a shuffle."""
+    return pa.concat_tables([pa.ipc.open_stream(v.as_buffer()).read_all() for v in column])
+
+
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -317,19 +339,23 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select("*", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    names = rows.columns
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("b")).first()
     blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES))
     shards = SHARDS_PER_BLOCK * blocks
     hot = _routes(rows, size["n"], threshold)
-    waiting = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int")).repartition("_block")
+    numbered = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
+    waiting = numbered.mapInArrow(_wrap, "_block int, rows binary").repartition("_block")
 
     def send(t: pa.Table) -> pa.Table:
-        return _send(Block(t["_id"].to_pylist(), t["_text"].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
+        rows = _unwrap(t["rows"])
+        return _send(Block(rows["_id"].to_pylist(), rows["_text"].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
 
     def answer(t: pa.Table) -> pa.Table:
         return _answer(t, threshold)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = _unwrap(left["rows"]).select(names)
         ids = left["_id"].to_pylist()
         block = Block(ids, left["_text"].to_pylist(), threshold, hot)
         return finish(left, block, _covered(block, ids, right, threshold, shards))
