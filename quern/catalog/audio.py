@@ -24,7 +24,7 @@ def audio_duration(spark, sf_dir):
 @query(
     f"""WITH {_C}, m AS (SELECT user_id, samples, list_sum(list_transform(samples, lambda v: v::DOUBLE)) / len(samples) AS mean FROM c),
     s AS (SELECT *, sqrt(list_sum(list_transform(samples, lambda v: (v::DOUBLE - mean) * (v::DOUBLE - mean))) / len(samples) + 1e-7::DOUBLE) AS sd FROM m)
-    SELECT user_id, i::INT AS pos, round(CASE WHEN i < len(samples) THEN (samples[i + 1]::DOUBLE - mean) / sd ELSE 0 END, 3) AS v, CASE WHEN i < len(samples) THEN 1 ELSE 0 END AS mask FROM s, range(64) r(i)"""
+    SELECT user_id, i::INT AS pos, round(CASE WHEN i < len(samples) THEN (samples[i + 1]::DOUBLE - mean) / sd ELSE 0 END, 3) AS v, (CASE WHEN i < len(samples) THEN 1 ELSE 0 END)::BIGINT AS mask FROM s, range(64) r(i)"""
 )
 def waveform_normalize(spark, sf_dir):
     done = op.waveforms(clips(spark, sf_dir), WaveformProcessor(length=64))

@@ -112,10 +112,10 @@ def _weights(pairs):
     """Weight tables for (size, out, filter) triples, and the sums in order."""
     rows = ", ".join(f"({s}, {o}, '{f}', {u}::DOUBLE)" for s, o, f in pairs for u in [{"box": 0.5, "bilinear": 1.0, "bicubic": 2.0}[f]])
     return f"""cfg(size, outn, f, support) AS (VALUES {rows}),
-    o AS (SELECT *, o::INT AS o, size::DOUBLE / outn AS scale FROM cfg, LATERAL (SELECT unnest(range(outn)) AS o)),
+    o AS (SELECT cfg.*, u.o::INT AS o, size::DOUBLE / outn AS scale FROM cfg, LATERAL (SELECT unnest(range(outn)) AS o) u),
     q AS (SELECT *, (o + 0.5::DOUBLE) * scale AS center, greatest(scale, 1.0::DOUBLE) AS widen FROM o),
     q2 AS (SELECT *, greatest(trunc(center - support * widen + 0.5::DOUBLE), 0)::INT AS first, least(trunc(center + support * widen + 0.5::DOUBLE), size)::INT AS last FROM q),
-    q3 AS (SELECT *, x::INT AS tap, (x + first - center + 0.5::DOUBLE) * (1.0::DOUBLE / widen) AS d FROM q2, LATERAL (SELECT unnest(range(last - first)) AS x)),
+    q3 AS (SELECT q2.*, u.x::INT AS tap, (u.x + first - center + 0.5::DOUBLE) * (1.0::DOUBLE / widen) AS d FROM q2, LATERAL (SELECT unnest(range(last - first)) AS x) u),
     q4 AS (SELECT *, CASE f WHEN 'box' THEN CASE WHEN d > -0.5 AND d <= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN 'bilinear' THEN greatest(1.0::DOUBLE - abs(d), 0.0::DOUBLE)
       ELSE CASE WHEN abs(d) < 1 THEN (1.5::DOUBLE * abs(d) - 2.5::DOUBLE) * abs(d) * abs(d) + 1.0::DOUBLE WHEN abs(d) < 2 THEN (((abs(d) - 5.0::DOUBLE) * abs(d) + 8.0::DOUBLE) * abs(d) - 4.0::DOUBLE) * -0.5::DOUBLE ELSE 0.0::DOUBLE END END AS raw FROM q3),
     q5 AS (SELECT size, outn, f, o, list_reduce(list(raw ORDER BY tap), lambda a, b: a + b) AS total FROM q4 GROUP BY ALL),
