@@ -338,26 +338,25 @@ def _routes(docs: DataFrame, rows: int, threshold: int) -> np.ndarray:
 def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema: str, finish) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select("*", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    names = rows.columns
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("b")).first()
+    names = docs.columns
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
     blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES))
     shards = SHARDS_PER_BLOCK * blocks
-    hot = _routes(rows, size["n"], threshold)
-    numbered = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int"))
+    hot = _routes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), size["n"], threshold)
+    numbered = docs.withColumn("_block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int"))
     waiting = numbered.mapInArrow(_wrap, "_block int, rows binary").repartition("_block")
 
     def send(t: pa.Table) -> pa.Table:
         rows = _unwrap(t["rows"])
-        return _send(Block(rows["_id"].to_pylist(), rows["_text"].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
+        return _send(Block(rows[id_col].to_pylist(), rows[text_col].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
 
     def answer(t: pa.Table) -> pa.Table:
         return _answer(t, threshold)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _unwrap(left["rows"]).select(names)
-        ids = left["_id"].to_pylist()
-        block = Block(ids, left["_text"].to_pylist(), threshold, hot)
+        ids = left[id_col].to_pylist()
+        block = Block(ids, left[text_col].to_pylist(), threshold, hot)
         return finish(left, block, _covered(block, ids, right, threshold, shards))
 
     sent = waiting.groupBy("_block").applyInArrow(send, "shard int, block int, n int, meta binary, segments binary")
@@ -381,9 +380,9 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n.append(len(words))
             removed.append(len(words) - len(kept))
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table([left["_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.table([left[id_col].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _blocks(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, threshold, "doc_id long, n_words long, n_removed long, kept_sha256 string", finish)
+    return _blocks(docs.select(id_col, text_col), id_col, text_col, threshold, "doc_id long, n_words long, n_removed long, kept_sha256 string", finish)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -393,7 +392,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def finish(left: pa.Table, block: Block, covered: dict[int, np.ndarray]) -> pa.Table:
-        texts = left["_text"].to_pylist()
+        texts = left[text_col].to_pylist()
         keep = np.ones(len(texts), bool)
         for i, gone in covered.items():
             keep[i] = not gone.all()
