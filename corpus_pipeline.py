@@ -1,6 +1,7 @@
 """The training-data pipeline: each stage reads what its predecessor wrote. Part of the subpackage quern.llm.
 
-toxicity (documents that score 0.5 or more go), SimHash near-dedup (the smallest doc_id of each component stays), substring dedup
+toxicity (documents that score 0.5 or more go), SimHash near-dedup (texts whose
+five-word shingles have a similarity of 0.8 or more; the smallest doc_id of each component stays), substring dedup
 (repeated spans of 13 words or more are cut; emptied documents go), mixing (documents as often as the mix takes them), BPE.
 """
 
@@ -18,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, grouped=simhash.similar_components)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +46,18 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever extra columns the input brings."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_column(text) -> "F.Column":
     """The words of a string column, as an array; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != F.lit(""))
@@ -56,6 +69,17 @@ def word_count(text) -> "F.Column":
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WORD_SPLIT))).cast("long")
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """On a worker: what other operators remember there is forgotten, so that one operator's memory is held at a time."""
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    if forget is not None:
+        _held[owner] = forget
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash, on a uint64 array (wraps around)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table, word_count
+from .common import fresh, shared_table, word_count
 
 MAX_COPIES = 3
 #: Ranges of the digest (three hexadecimal digits).
@@ -109,13 +109,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents in the mix, with the input's columns, each as many times as it is taken."""
-    counted = docs.withColumn("_size", word_count(F.col("text")))
+    size, times, place, copy = fresh(docs, "_size", "_copies", "_place", "_copy")
+    counted = docs.withColumn(size, word_count(F.col("text")))
     mixed = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
-    joined = counted.alias("d").join(mixed.alias("m"), F.expr("d.doc_id <=> m.doc_id and d.source <=> m.source and d._size = m.size")).filter("c > 0")
+    joined = counted.alias("d").join(mixed.alias("m"), F.expr(f"d.doc_id <=> m.doc_id and d.source <=> m.source and d.`{size}` = m.size")).filter("m.c > 0")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = joined.filter("n = 1").select(*columns, F.col("c").alias("_copies"))
-    repeated = joined.filter("n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text")))).select(
-        *columns, (F.expr("c div n") + F.when(F.col("_i") <= F.col("c") % F.col("n"), 1).otherwise(0)).alias("_copies")
+    single = joined.filter("m.n = 1").select(*columns, F.col("m.c").alias(times))
+    order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"))
+    repeated = joined.filter("m.n > 1").withColumn(place, F.row_number().over(order)).select(
+        *columns, (F.expr("m.c div m.n") + F.when(F.col(place) <= F.col("m.c") % F.col("m.n"), 1).otherwise(0)).alias(times)
     )
-    taken = single.unionByName(repeated).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    taken = single.unionByName(repeated).filter(F.col(times) > 0)
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(copy, times)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, gram_hashes, hash_words, prepare, sliding_min
+from .common import byte_offsets, fresh, gram_hashes, hash_words, hold, prepare, sliding_min
 
 THRESHOLD = 13
 GRAM = 5
@@ -335,7 +335,7 @@ def _routes(docs: DataFrame, rows: int, threshold: int) -> np.ndarray:
     return np.sort(np.array(keys, np.int64).view(np.uint64))
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema: str, finish) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema, finish) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     names = docs.columns
@@ -343,10 +343,12 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema:
     blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES))
     shards = SHARDS_PER_BLOCK * blocks
     hot = _routes(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), size["n"], threshold)
-    numbered = docs.withColumn("_block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int"))
+    (number,) = fresh(docs, "_block")
+    numbered = docs.withColumn(number, F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int"))
     waiting = numbered.mapInArrow(_wrap, "_block int, rows binary").repartition("_block")
 
     def send(t: pa.Table) -> pa.Table:
+        hold("substring")
         rows = _unwrap(t["rows"])
         return _send(Block(rows[id_col].to_pylist(), rows[text_col].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
 
@@ -389,7 +391,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """The rows with repeated spans cut from their texts. Texts without such spans stay as they are; rows that had words and
     have none left are not returned. See `dedup_digests` for nulls and ties."""
     columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = docs.schema
 
     def finish(left: pa.Table, block: Block, covered: dict[int, np.ndarray]) -> pa.Table:
         texts = left[text_col].to_pylist()
@@ -417,7 +419,7 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, text_col: str
         raise ValueError(f"the references have {size} bytes of text; {BROADCAST_BYTES} can be broadcast")
     texts = sorted(r[0].encode("utf-8", "surrogatepass").split() for r in references.select(ref_col).filter(F.col(ref_col).isNotNull()).collect())
     shared = spark.sparkContext.broadcast(texts)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = docs.schema
 
     def run(batches):
         symbols: dict[bytes, int] = {}

@@ -490,6 +490,28 @@ def test_simhash_links_dense_and_sparse(spark, limit):
     assert groups(root) == groups(want)
 
 
+def test_similar_components_catch_near_copies(spark, docs, empty):
+    r = random.Random(9)
+    fill = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base = [[r.choice(fill) for _ in range(300)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        for k in range(4):  # each changed word touches five shingles: similarities of 0.97 to 0.88
+            v = list(w)
+            for at in r.sample(range(0, 300, 10), k + 1):
+                v[at] = "changed"
+            rows.append((1000 + 10 * i + k, " ".join(v)))
+    rows += [(5000, " ".join(base[0])), (5001, None), (5002, ""), (5003, "short text"), (5004, "other text")]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == i for i in range(40)) and got[5000] == 0 and got[5001] == got[5002] == 5001 and got[5003] == 5003 and got[5004] == 5004
+    copies = [got[1000 + 10 * i + k] == i for i in range(40) for k in range(4)]
+    assert sum(copies) >= 0.97 * len(copies)
+    wide = {i: sum((w % (1 << 64)) << (64 * k) for k, w in enumerate(simhash.wide_fingerprint(t)[2:])) for i, t, *_ in docs.collect()}
+    coarse = brute_components(wide, simhash.similar_bits(0.8) + simhash.NOISE_BITS)
+    assert all(coarse[x.doc_id] == coarse[x.component_id] for x in simhash.similar_components(docs).collect())
+    assert simhash.similar_components(empty).count() == 0
+
+
 def test_simhash_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "zz yy xx ww vv")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.simhash_components(df).collect())
@@ -569,8 +591,8 @@ def test_pipeline(spark, tmp_path):
     clean = {r.doc_id for r in kept["toxicity"]}
     assert len(clean & toxic) <= 0.05 * len(toxic) and len([i for i, _ in docs if i not in clean and i not in toxic]) <= 5
     near = {r.doc_id: r.text for r in kept["simhash near-dedup"]}
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in kept["toxicity"]}
-    assert set(near) == set(brute_components(fps).values()) and not any(1000 <= i < 1005 for i in near)
+    wide = {r.doc_id: sum((w % (1 << 64)) << (64 * k) for k, w in enumerate(simhash.wide_fingerprint(r.text)[2:])) for r in kept["toxicity"]}
+    assert set(near) == set(brute_components(wide, simhash.similar_bits(0.8) + simhash.NOISE_BITS).values()) and not any(1000 <= i < 1005 for i in near)
     want = brute_substring(sorted((i, t) for i, t in near.items()))
     spans = {r.doc_id: r for r in kept["substring dedup"]}
     assert {i: words(r.text) for i, r in spans.items()} == {i: k for i, (n, k) in want.items() if k or not n}
@@ -580,3 +602,19 @@ def test_pipeline(spark, tmp_path):
     model = bpe.WordBpe(open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert sorted((r.doc_id, r.ids_sha256) for r in kept["bpe"]) == sorted((r.doc_id, model.digests(r.text)[1]) for r in mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
+
+
+def test_clashing_columns(spark, rows):
+    """Extra columns named like the operators' own ones pass through untouched."""
+    names = ["id", "c", "n", "size", "rows", "fp", "key", "copies", "_size", "_copies", "_score", "_block", "_text_hash", "_key", "_bpe_text", "block", "rank", "hash", "component_id"]
+    docs = spark.createDataFrame(rows, DOC)
+    wide = docs.select("*", *[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names])
+    lab = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    path = tokenizers.path("word_bpe_49k.json")
+    for run in (lambda d: toxicity.clean_documents(d, lab), simhash.representatives, substring.dedup, mixing.mixed_documents, lambda d: bpe.encode_documents(d, path).drop("ids")):
+        got = run(wide)
+        assert got.columns == wide.columns
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, run(docs).collect()))
+        assert got.filter(F.col("fp") != F.concat_ws("-", F.lit("fp"), "doc_id")).count() == 0
+    digest = lambda d: sorted(map(str, substring.dedup_digests(d).collect() + simhash.simhash_components(d).collect() + mixing.mix(d).collect() + sharding.shard(d).collect() + license.scan_licenses(d).collect()))
+    assert digest(wide) == digest(docs)
