@@ -19,11 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare
+from .common import fresh, hold, prepare
 
-#: Runs without white space whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Runs without white space whose ids a worker remembers: half of them new or met again since the other half was new.
+CACHE_WORDS = 800_000
 _NONE = 1 << 60
 #: White space as the tokenizer's patterns mean it (the Unicode property; fixed values).
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -127,6 +128,7 @@ class WordBpe:
         self.odd = regex.compile(r"[\x1C-\x1F]")  # white space to str.split(), not to the patterns
         self.numbers: dict[str, str] = {}
         self.shown: dict[str, str] = {}
+        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def word(self, w: str) -> list[int]:
         data = w.encode("utf-8", "replace")
@@ -165,6 +167,15 @@ class WordBpe:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
+    def _recalled(self, r: str) -> bool:
+        """Move a run from the old half of the memory to the new one, if it is there."""
+        numbers, shown = self.before
+        got = numbers.get(r)
+        if got is None:
+            return False
+        self.numbers[r], self.shown[r] = got, shown[r]
+        return True
+
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids (decimal, joined by a space) and of the decoded text.
 
@@ -179,13 +190,15 @@ class WordBpe:
             runs = [r for r in self.spaces.split(x) if r] if self.odd.search(x) else x.split()
             if not runs:
                 continue
-            if len(self.numbers) >= CACHE_WORDS:
-                self.numbers.clear()
-                self.shown.clear()
+            if 2 * len(self.numbers) >= CACHE_WORDS:
+                self.before = self.numbers, self.shown
+                self.numbers, self.shown = {}, {}
             for r in set(runs).difference(self.numbers):
+                if self._recalled(r):
+                    continue
                 words = (r,) if r.isalpha() else self.pattern.findall(r)
                 for w in words:
-                    if w not in self.numbers:
+                    if w not in self.numbers and not self._recalled(w):
                         ids = self.word(w)
                         self.numbers[w] = " ".join(map(str, ids))
                         self.shown[w] = " ".join(map(self.tokens.__getitem__, ids))
@@ -202,6 +215,7 @@ _loaded: dict[str, WordBpe] = {}
 
 
 def _tokenizer(definition: str) -> WordBpe:
+    hold("bpe", _loaded.clear)
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -217,21 +231,22 @@ def _broadcast(docs: DataFrame, path: str):
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Every row with the ids of its whole text (null: none) in out_col."""
     model = _broadcast(docs, path)
-    kinds = docs.schema
+    (source,) = fresh(docs, "_bpe_text")
 
     def run(batches):
         t = _tokenizer(model.value)
         for b in batches:
-            ids = [t.encode(x) for x in b.column(b.schema.get_field_index("_bpe_text")).to_pylist()]
+            ids = [t.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + f", `{out_col}` array<int>"
-    return docs.withColumn("_bpe_text", F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    return docs.withColumn(source, F.col(text_col)).mapInArrow(run, schema)
 
 
 def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Every row with the text of its ids (null: empty) in out_col."""
     model = _broadcast(rows, path)
+    (source,) = fresh(rows, "_bpe_ids")
 
     def run(batches):
         t = _tokenizer(model.value)
@@ -239,8 +254,8 @@ def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids", out_col:
             texts = [t.decode(x or []) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out_col}` string"
-    return rows.withColumn("_bpe_ids", F.col(ids_col)).mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
+    return rows.withColumn(source, F.col(ids_col)).mapInArrow(run, schema)
 
 
 def document_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import gram_hashes, hash_words, prepare, shared_table
+from .common import fresh, gram_hashes, hash_words, hold, prepare, shared_table
 
 #: Labelled rows that the lexicon and the score are fitted on, at most (half of each label where there are as many).
 SAMPLE_ROWS = 4000
@@ -38,7 +39,7 @@ FUZZY_FROM = 5
 CONTEXT = 6
 QUOTED = 0.25
 #: Distinct words whose matches a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Quotation marks, and words of reporting in the four languages.
 _MARKS = "\"'`«»‘’‚“”„"
 _REPORTING = {"said", "says", "quote", "quoted", "called", "wrote", "term", "word", "sagte", "zitat", "wort", "dit", "cite", "mot", "dijo", "cita", "palabra"}
@@ -251,18 +252,21 @@ def _fit(x: np.ndarray, y: np.ndarray, good: int, bad: int) -> tuple[float, ...]
     return tuple(float(round(v, 9)) for v in c)
 
 
-def _scored(docs: DataFrame, model, text_col: str) -> DataFrame:
+def _scored(docs: DataFrame, model, text_col: str) -> tuple[DataFrame, str]:
+    """The rows with their score, and the name of its column."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    text, name = fresh(docs, "_scored_text", "_score")
 
     def run(batches):
+        hold("toxicity")
         s = Scorer(*shared.value)
         for b in batches:
             scores = pa.array([s.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.withColumn("_scored_text", F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn(text, F.col(text_col)).mapInArrow(run, schema), name
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,9 +278,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     model = learn(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _scored(rows, model, "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored, name = _scored(rows, model, "text")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with the input's columns."""
-    return _scored(docs, learn(docs, labels), "text").filter("_score < 0.5").drop("_score")
+    scored, name = _scored(docs, learn(docs, labels), "text")
+    return scored.filter(F.col(name) < 0.5).drop(name)
