@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned from labelled rows. Its entries are whole words or stems (a prefix of longer words), each with a
-weight. A word of a text is matched by walking the trie and a Levenshtein automaton of the word together: a state of the
+weight. Words near an entry that clean texts of the sample use are not taken for misspellings. A word of a text is matched by walking the trie and a Levenshtein automaton of the word together: a state of the
 automaton is the row of edit distances, and a branch of the trie is left once the whole row is beyond the limit.
 So misspelled terms are caught without comparing a word with every entry.
 
@@ -27,6 +27,8 @@ from .common import fresh, gram_hashes, hash_words, hold, prepare, shared_table
 SAMPLE_ROWS = 4000
 #: Entries of the lexicon, at most.
 LEXICON = 400
+#: Words of clean texts near an entry that are kept as correctly spelled, at most.
+SPELLED = 5000
 #: Lengths of stems, in characters.
 STEMS = (4, 5, 6)
 #: Toxic documents of the sample that an entry occurs in, at least: this many, and this share of them. Copies count once.
@@ -68,13 +70,17 @@ class Trie:
                     self.stem.append(0.0)
             kind = self.stem if e.stem else self.whole
             kind[node] = max(kind[node], e.weight)
+        # One edit leaves the first or the second half of an entry as it is.
+        halves = [(e.text[: len(e.text) // 2], e.text[len(e.text) // 2 :]) for e in entries if not e.stem]
+        self.heads, self.tails = {a for a, _ in halves}, {b for _, b in halves}
+        self.head_sizes, self.tail_sizes = sorted({len(a) for a in self.heads}), sorted({len(b) for b in self.tails})
 
     def match(self, word: str, fuzzy_from: int = FUZZY_FROM) -> float:
-        """The highest weight of an entry that accepts the word, 0 if none.
+        """The highest weight of an entry that accepts the word, 0 if none."""
+        return self.exact(word) or self.fuzzy(word, fuzzy_from)
 
-        A whole entry accepts words within one edit if it has fuzzy_from characters or more (the edit costs a fifth of the
-        weight), else the word itself. A stem accepts words that begin with it.
-        """
+    def exact(self, word: str) -> float:
+        """As `match`, for words as they are: a whole entry accepts itself, a stem words that begin with it."""
         best = 0.0
         node = 0
         for c in word:
@@ -84,9 +90,15 @@ class Trie:
             best = max(best, self.stem[node])
         else:
             best = max(best, self.whole[node])
-        if best or len(word) < fuzzy_from - 1:
-            return best
+        return best
+
+    def fuzzy(self, word: str, fuzzy_from: int = FUZZY_FROM) -> float:
+        """As `match`, for misspellings: a whole entry of fuzzy_from characters or more accepts words within one edit, which
+        costs a fifth of its weight."""
+        best = 0.0
         n = len(word)
+        if n < fuzzy_from - 1 or not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
+            return best
         # Rows of edit distances, cut to the band of one edit: positions depth - 1, depth and depth + 1 of the word.
         walk = [(0, 0, (2, 0, 1))]
         while walk:
@@ -131,9 +143,11 @@ def features(words: list[str], weights: dict[str, float]) -> tuple[float, float,
 
 
 class Scorer:
-    def __init__(self, entries: list[Entry], coefficients: tuple[float, ...]):
+    def __init__(self, entries: list[Entry], coefficients: tuple[float, ...], spelled: frozenset[str] = frozenset()):
+        """spelled: words near an entry that clean texts use, which are no misspellings."""
         self.trie = Trie(entries)
         self.coefficients = coefficients
+        self.spelled = spelled
         self.cache: dict[str, float] = {}
 
     def weigh(self, words: list[str]) -> dict[str, float]:
@@ -142,7 +156,8 @@ class Scorer:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in distinct.difference(cache):
-            cache[w] = self.trie.match(bare(w))
+            plain = bare(w)
+            cache[w] = self.trie.exact(plain) or (0.0 if plain in self.spelled else self.trie.fuzzy(plain))
         return cache
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -189,15 +204,16 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     return signed.groupBy("sign", "toxic").agg(F.min(F.struct("id", "text")).alias("one")).select("one.text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Entry], tuple[float, ...]]:
-    """The lexicon and the score's coefficients, from the labelled sample. Without labels of both kinds the lexicon is empty."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[Entry], tuple[float, ...], frozenset[str]]:
+    """The lexicon, the score's coefficients and the words that only look misspelled, from the labelled sample.
+    Without labels of both kinds the lexicon is empty."""
     spark = docs.sparkSession
     prepare(spark)
     sample = shared_table(spark, _sample(docs, labels, id_col, text_col), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     good, bad = totals.get(0, 0), totals.get(1, 0)
     if not good or not bad:
-        return [], (-2.0, 0.0, 0.0)
+        return [], (-2.0, 0.0, 0.0), frozenset()
 
     def count(batches):
         found: dict[tuple[str, bool], list[int]] = {}
@@ -221,20 +237,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     entries: list[Entry] = []
     stems: set[str] = set()
     for r in rows:
-        if len(entries) < LEXICON and not any(r["term"][:n] in stems for n in STEMS if n <= len(r["term"])):
+        covered = r["stem"] and any(r["term"][:n] in stems for n in STEMS if n <= len(r["term"]))
+        if len(entries) < LEXICON and not covered:  # whole words stay beside their stems: they alone take misspellings
             entries.append(Entry(r["term"], r["stem"], float(r["odds"])))
             if r["stem"]:
                 stems.add(r["term"])
 
+    def look_alikes(batches):
+        trie = Trie(entries)
+        for b in batches:
+            seen = {bare(w) for text in b.column(0).to_pylist() for w in set(tokens(text or ""))}
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w in seen if not trie.exact(w) and trie.fuzzy(w)], pa.string())})
+
+    words = sample.filter("toxic = 0").select("text").mapInArrow(look_alikes, "word string").groupBy("word").count()
+    spelled = frozenset(r["word"] for r in words.orderBy(F.col("count").desc(), "word").limit(SPELLED).collect())
+
     def describe(batches):
-        s = Scorer(entries, (0.0, 0.0, 0.0))
+        s = Scorer(entries, (0.0, 0.0, 0.0), spelled)
         for b in batches:
             f = [s.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"w": pa.array([math.log1p(p + QUOTED * q) for p, q, _ in f], pa.float64()), "s": pa.array([math.log1p(x) for _, _, x in f], pa.float64()), "y": b.column(1)})
 
     fitted = sample.mapInArrow(describe, "w double, s double, y int").collect()
     data = np.array(sorted(tuple(r) for r in fitted))
-    return entries, _fit(data[:, :2], data[:, 2], good, bad)
+    return entries, _fit(data[:, :2], data[:, 2], good, bad), spelled
 
 
 def _fit(x: np.ndarray, y: np.ndarray, good: int, bad: int) -> tuple[float, ...]:

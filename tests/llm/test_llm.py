@@ -322,6 +322,12 @@ def test_toxicity_learns_and_holds_out(spark):
     turned = spark.createDataFrame([(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     again = {r.doc_id: r.score for r in toxicity.score_documents(df, turned).collect()}
     assert again == {i: r.score for i, r in got.items()}
+    entries, _, spelled = toxicity.learn(df, lab)
+    assert {e.text for e in entries if not e.stem} >= {"idiot", "moron"} and not any(w.startswith("idio") for w in spelled)
+    filler = docs[1][1].split()
+    wrong = spark.createDataFrame([(10_000, " ".join([*filler[:9], "idlot", *filler[9:15], "morron", "ldiot"])), (10_001, docs[1][1])], "doc_id long, text string")
+    both = {r.doc_id: r.predicted for r in toxicity.score_documents(df.union(wrong), lab).collect()}
+    assert both[10_000] == 1 and both[10_001] == 0
     kept = {r.doc_id for r in toxicity.clean_documents(df, lab).collect()}
     assert kept == {i for i, r in got.items() if not r.predicted}
 
