@@ -22,8 +22,9 @@ from .vectors import BLOCK_ROWS, best_of, search_blocks, usable
 
 TREES = 64
 BITS = 24
-#: The ascent stops when the trees hold this share of the block, counting a row once a tree, and at least 20 k rows.
-SHARE = 0.65
+#: The ascent stops when the trees hold this share of the block, counting a row once a tree. In a block of at most SMALL k rows it goes
+#: on to the roots, so that every row is a candidate.
+SHARE, SMALL = 0.65, 20
 SEED = 20240607
 
 
@@ -38,7 +39,7 @@ def _strings(x: np.ndarray, top: float, trees: int, bits: int, extra: bool) -> n
 
 def _forest(k: int, top: float, trees: int, bits: int, share: float):
     def search(qids, q, ids, a):
-        want = max(share * len(ids), 20 * k)
+        want = share * len(ids) if len(ids) > SMALL * k else trees * len(ids)
         strings = _strings(a, top, trees, bits, True)
         order = np.argsort(strings, axis=1, kind="stable")
         strings = np.take_along_axis(strings, order, 1)
@@ -71,8 +72,8 @@ def _forest(k: int, top: float, trees: int, bits: int, share: float):
 def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_filter=None, k: int = 20, trees: int = TREES, bits: int = BITS, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest found by inner product, nearest first, ties to the smaller id.
 
-    Null, zero and non-finite vectors and null ids take no part. With at most 20 k rows in a block every row
-    is a candidate, so small tables are exact. Scores are the double inner products of the original
+    Null, zero and non-finite vectors and null ids take no part. In blocks of at most SMALL k rows every
+    row is a candidate, so small tables are exact. Scores are the double inner products of the original
     vectors. An empty table gives an empty result.
     """
     valid = usable(rows, id_col, vec_col, allow_zero=False)

@@ -396,6 +396,16 @@ def test_lsh_forest_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_lsh_forest_is_exact_on_small_tables(spark):
+    x, _, df = vectors(spark, 41, 8)
+    got = {}
+    for r in lsh_forest.nearest(df.filter("vec_id < 41")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for i in (0, 20, 40):
+        s = x.astype(float) @ x[i].astype(float)
+        assert sorted(got[i]) == [(k + 1, j) for k, j in enumerate([j for j in np.lexsort((np.arange(41), -s)) if j != i][:20])]
+
+
 def test_vector_searches_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (7, [2.0, 0.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in lsh_forest.nearest(few).orderBy("query_id", "rank").collect()]
