@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 catalog.load()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose SQL takes long; the driver runs them all.
-SLOW = {"box_iou", "dot_rows"}
+SLOW = {"dot_rows"}
 
 
 @pytest.fixture(scope="module")
