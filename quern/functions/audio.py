@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.audio import MelSpectrogram, WaveformProcessor
+from .geometry import let
 
 
 def duration_secs(samples, rate) -> Column:
@@ -19,13 +20,17 @@ def pad_or_truncate(samples, n: int, value: float = 0.0) -> Column:
 
 
 def normalized(samples) -> Column:
-    """Zero mean and unit variance (of the population, plus 1e-7) over the whole clip, in double, kept in single precision."""
+    """Zero mean and unit variance (of the population, plus 1e-7) over the whole clip, in double, kept in single precision.
+
+    Mean and variance are bound before the elements are visited: inside the last lambda they would be computed for each.
+    """
     n = F.size(samples).cast("double")
-    doubles = F.transform(samples, lambda v: v.cast("double"))
-    add = lambda s, v: s + v
-    mean = F.aggregate(doubles, F.lit(0.0), add) / F.when(n > 0, n)
-    variance = F.aggregate(F.transform(doubles, lambda v: (v - mean) * (v - mean)), F.lit(0.0), add) / F.when(n > 0, n)
-    return F.transform(doubles, lambda v: ((v - mean) / F.sqrt(variance + 1e-7)).cast("float"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.when(n > 0, n)
+
+    def scaled(doubles, mean):
+        return let(total(F.transform(doubles, lambda v: (v - mean) * (v - mean))), lambda variance: F.transform(doubles, lambda v: ((v - mean) / F.sqrt(variance + 1e-7)).cast("float")))
+
+    return let(F.transform(samples, lambda v: v.cast("double")), lambda doubles: let(total(doubles), lambda mean: scaled(doubles, mean)))
 
 
 def waveform(samples, rate, plan: WaveformProcessor) -> tuple[Column, Column]:

@@ -20,14 +20,35 @@ def _schema(df: DataFrame, skip: str) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != skip)
 
 
+#: Rows whose results are sent on together: tensors may be a megabyte each.
+ROWS = 64
+
+
+def slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def array_of(values: list, kind: pa.DataType) -> pa.Array:
+    """Tensors become flat buffers with offsets; other values are converted one by one."""
+    if kind != _TENSOR:
+        return pa.array(values, kind)
+    flat = [np.zeros(0, np.float32) if v is None else v["data"] for v in values]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in flat]))).astype(np.int32)
+    data = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.float32), pa.float32()))
+    shape = pa.array([None if v is None else v["shape"] for v in values], pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([shape, data], fields=list(_TENSOR), mask=pa.array([v is None for v in values]))
+
+
 def _apply(df: DataFrame, col: str, out: str, kind: pa.DataType, ddl: str, f) -> DataFrame:
     """Each row with f(image) instead of the image column; rows stay where they are."""
     prepare(df.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(col)
-            made = pa.array([None if v is None else f(_image(v)) for v in b.column(at).to_pylist()], kind)
+            made = array_of([None if v is None else f(_image(v)) for v in b.column(at).to_pylist()], kind)
             rest = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), made], [*(b.schema.names[i] for i in rest), out])
 
