@@ -13,10 +13,12 @@ fingerprints are linked in a star.
 
 Copies collapse first: everything after the fingerprints works on distinct fingerprints.
 
-Near copies of a lower similarity differ in more bits than the exact grid can span. `similar_components` takes the same way with wider
-fingerprints: a cell is the popcounts of some segments sampled from 128 bits over three-word shingles, in CELL_TABLES grids;
-members of a cell are paired with its smallest one, linear in their number, and a pair is verified by the exact
-Hamming distance of 256 bits over five-word shingles, which is a function of the shingles' similarity.
+Near copies of a lower similarity differ in more bits than the exact grid can span. `similar_components` joins the sets of five-word
+shingles instead. In one order of all shingles, two sets of a similarity of t or more share one of the first n - ceil(t n) + 1 of
+each: these are the cells, and no pair is missed. Shingles that are frequent in a bounded sample come last in the order; the sample
+decides the cells only, never the result. A cell's members are compared with a few centres at a time, most in the first round;
+links contract, centres leave, and rounds go on until no cell holds members of two components. A pair is excluded early by its sizes and by
+256 SimHash bits with a wide margin, and accepted by the exact similarity of the sets.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +39,14 @@ SHINGLE = 3
 GROUPS = 4
 CELL_LIMIT = 4032
 _CHUNK = 1 << 16
-#: Sampled grids of the wide form, and unrelated texts that share a cell with a text on average, at most. Two unrelated popcounts of two
-#: bits agree with a chance of 3 / 8, so the number of segments in a cell follows the number of distinct texts.
-CELL_TABLES, CELL_STRANGERS = 64, 0.25
-#: Bits allowed beyond those expected at the similarity asked for, about half a standard deviation.
+#: Documents sampled for the order of shingles, times a shingle occurs there to count as frequent, and frequent shingles held at most.
+ORDER_ROWS, ORDER_LEAST, ORDER_LIMIT = 4096, 3, 1 << 16
+#: Centres of a cell in the first round, and how many times as many in each further one.
+CENTRES, CENTRES_GROW = 4, 4
+#: Bits of 256 allowed beyond those expected before the sets are compared: over seven standard deviations of large sets, over five of
+#: sets of a few shingles, whose ties move more bits.
+MARGIN_BITS = 46
+#: Half a standard deviation of the bits, for comparisons by fingerprints alone.
 NOISE_BITS = 3
 
 
@@ -91,42 +97,130 @@ def similar_bits(similarity: float) -> int:
     return int(256 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, sorted; a shorter text is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(gram_hashes(hash_words(words), min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def _set_key(grams: np.ndarray) -> int:
+    """A signed hash of a set; 0 for the empty one."""
+    return _long(xxhash.xxh3_64_intdigest(grams.tobytes())) if len(grams) else 0
+
+
+def _prefix(grams: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of a set's hashes in the order: frequent ones last by rank, others by value."""
+    n = len(grams)
+    want = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(frequent):
+        return grams[:want]
+    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+    known = frequent[at] == grams
+    first = grams[~known][:want]
+    return first if len(first) == want else np.concatenate([first, grams[known][np.argsort(rank[at[known]], kind="stable")][: want - len(first)]])
+
+
+def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several documents of a bounded sample, sorted, and the rank of each, the most frequent last."""
+
+    def grams(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["gram"])
+
+    sampled = docs.select(text_col).sample(min(1.0, ORDER_ROWS / max(1, docs.count())), 9)
+    counts = sampled.mapInArrow(grams, "gram long").groupBy("gram").count().filter(F.col("count") >= ORDER_LEAST)
+    found = counts.orderBy(F.col("count").desc(), "gram").limit(ORDER_LIMIT).collect()
+    values = np.array([r.gram for r in found], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(values) - np.arange(len(values)))[order]
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """Per row: id, fp (a hash of its wide fingerprint) and component_id, the smallest id reachable over links of texts whose
-    five-word shingles are about as similar as asked or more. Nulls, repetitions and empty tables as in `simhash_components`.
+    """Per row: id, fp (a hash of its set of five-word shingles) and component_id, the smallest id reachable over links of texts whose
+    sets have a Jaccard similarity as asked or more. Nulls, repetitions and empty tables as in `simhash_components`.
 
-    At a quarter of a million distinct texts a pair of similarity 0.9 shares a cell with a chance over 0.99, one of 0.8 of about 0.97.
+    Every such pair is found and compared or already connected, up to collisions of 64-bit hashes and pairs beyond MARGIN_BITS.
     """
     spark = docs.sparkSession
     prepare(spark)
-    names = [f"w{i}" for i in range(6)]
+    names = [f"w{i}" for i in range(4)]
+    frequent, rank = _frequent(docs, text_col)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            bits = [_majority(s, 4) for s in sets]
+            prefixes = [_prefix(s, similarity, frequent, rank) for s in sets]
+            off = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)))
+            keys, sizes = pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+            words = [pa.array([r[i] for r in bits], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys, sizes, *words, cells], ["id", "text_hash", "fp", "n", *names, "cells"])
+
+    longs = [T.StructField(n, T.LongType()) for n in ("text_hash", "fp", "n", *names)]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, T.StructField("cells", T.ArrayType(T.LongType()))])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    fps = shared_table(spark, texts.mapInArrow(run, schema), "set-fps")
+    distinct = fps.groupBy("fp").agg(*[F.min(n).alias(n) for n in ("text_hash", "n", *names)], F.min(_present("id", fps)).alias("rep"))
+    distinct = shared_table(spark, distinct, "set-distinct")
+    of_cell = Window.partitionBy("cell")
+    entries = fps.select("fp", "n", F.explode("cells").alias("cell"))
+    shared = entries.withColumn("low", F.min("fp").over(of_cell)).withColumn("high", F.max("fp").over(of_cell)).filter("low < high")
+    cells = shared_table(spark, shared.select("cell", "fp", "n").dropDuplicates(["cell", "fp"]), "set-cells")
+    linked = _linked_sets(spark, cells, distinct, texts.select("text", "text_hash"), similarity)
+    return _named(fps.select("id", "fp"), distinct.select("fp", "rep"), linked, id_col)
+
+
+def _linked_sets(spark: SparkSession, cells: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of sets. A round compares the centres of each cell with all its members of other components; then
+    the centres leave it. Centres come from the smallest components of the cell, so a large group of near copies is
+    linked by its first centres and compared further only with the members that are strangers to it."""
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    centres = CENTRES
+    while not cells.isEmpty():
+        of_cell = Window.partitionBy("cell")
+        members = cells.join(roots, cells.fp == roots.node, "left").select("cell", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        members = members.withColumn("low", F.min("root").over(of_cell)).withColumn("high", F.max("root").over(of_cell)).filter("low < high")
+        members = members.withColumn("alike", F.count("*").over(Window.partitionBy("cell", "root")))
+        members = members.withColumn("place", F.row_number().over(of_cell.orderBy("alike", "root", "fp"))).select("cell", "fp", "n", "root", "place")
+        members = shared_table(spark, members, "set-members")
+        x, y = members.filter(F.col("place") <= centres).alias("x"), members.alias("y")
+        asked = x.join(y, F.col("x.cell") == F.col("y.cell")).filter(
+            (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+        )
+        pairs = asked.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+        found = shared_table(spark, _similar_pairs(spark, pairs, distinct, texts, similarity), "set-links")
+        links = links.union(found)
+        cells = members.filter(F.col("place") > centres).select("cell", "fp", "n")
+        roots = components(spark, links)
+        centres *= CENTRES_GROW
+    return roots
+
+
+def _similar_pairs(spark: SparkSession, pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as asked: excluded by bits, then verified on the sets, made again from the texts."""
+    names = [f"w{i}" for i in range(4)]
+    left = distinct.select(F.col("fp").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
+    right = distinct.select(F.col("fp").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
+    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    near = shared_table(spark, pairs.join(left, "a").join(right, "b").filter(apart <= similar_bits(similarity) + MARGIN_BITS).select("a", "b"), "set-near")
+    asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "text_hash"), "fp")
 
     def run(batches):
         for b in batches:
-            rows = [wide_fingerprint(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(6))], ["id", *names])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    fps = shared_table(spark, rows.withColumn("fp", F.xxhash64(*names)), "wide-fps")
-    distinct = shared_table(spark, fps.groupBy("fp").agg(*[F.min(n).alias(n) for n in names], F.min(_present("id", fps)).alias("rep")), "wide-distinct")
-    segments = min(64, max(10, math.ceil(math.log(max(1, distinct.count()) / CELL_STRANGERS) / math.log(8 / 3))))
-    sampled = np.random.default_rng(9)
-    masks = []
-    for _ in range(CELL_TABLES):
-        chosen = sampled.choice(64, segments, replace=False).tolist()
-        masks.append([_long(sum(3 << (2 * (c % 32)) for c in chosen if c // 32 == half)) for half in (0, 1)])
-    embedded = distinct.select("fp", _embedded(F.col("w0")).alias("a"), _embedded(F.col("w1")).alias("b"))
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("a").bitwiseAND(F.lit(x)), F.col("b").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(masks)])
-    cells = embedded.select("fp", F.explode(keys).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first < last").select("cell", "first")
-    pairs = cells.join(shared, "cell").filter("first < fp").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
-    verify = [f"w{i}" for i in range(2, 6)]
-    left = distinct.select(F.col("fp").alias("a"), *[F.col(n).alias(f"a_{n}") for n in verify])
-    right = distinct.select(F.col("fp").alias("b"), *[F.col(n).alias(f"b_{n}") for n in verify])
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in verify[1:]), F.bit_count(F.col(f"a_{verify[0]}").bitwiseXOR(F.col(f"b_{verify[0]}"))))
-    near = pairs.join(left, "a").join(right, "b").filter(apart <= similar_bits(similarity) + NOISE_BITS).select("a", "b")
-    return _named(fps, distinct.select("fp", "rep"), components(spark, near), id_col)
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            keep = [i for i, (s, fp) in enumerate(zip(sets, b.column(0).to_pylist())) if _set_key(s) == fp]
+            off = np.cumsum([0, *(len(sets[i]) for i in keep)]).astype(np.int32)
+            flat = np.concatenate([*(sets[i] for i in keep), np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["fp", "grams"])
+
+    sets = texts.join(asked, "text_hash").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(run, "fp long, grams array<long>")
+    sets = shared_table(spark, sets, "sets")
+    both = near.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.filter(F.col("common") / (F.col("n") + F.col("m") - F.col("common")) >= similarity).select("a", "b")
 
 
 def _named(fps: DataFrame, distinct: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:

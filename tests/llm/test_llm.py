@@ -634,3 +634,47 @@ def test_clashing_columns(spark, rows):
         assert got.filter(F.col("fp") != F.concat_ws("-", F.lit("fp"), "doc_id")).count() == 0
     digest = lambda d: sorted(map(str, substring.dedup_digests(d).collect() + simhash.simhash_components(d).collect() + mixing.mix(d).collect() + sharding.shard(d).collect() + license.scan_licenses(d).collect()))
     assert digest(wide) == digest(docs)
+
+
+# ---- 9 in the pipeline: sets of shingles
+
+
+def brute_similar(texts, similarity=0.8):
+    """Components by the exact Jaccard similarity of five-word shingles, written apart from the operator."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= similarity):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def similar(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    return {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+
+
+def test_similar_components_find_every_pair_at_the_limit(spark):
+    """Similarities of 0.79 to 0.83, which sampled grids find in part only."""
+    r = random.Random(31)
+    texts = {}
+    for i in range(80):
+        base = [f"w{r.randrange(5000)}" for _ in range(300)]
+        copy = list(base)
+        for at in r.sample(range(0, 300, 6), r.choice([5, 6, 6, 7])):
+            copy[at] = "changed"
+        texts |= {i: " ".join(base), 1000 + i: " ".join(copy)}
+    want = brute_similar(texts)
+    assert 20 < sum(want[1000 + i] == i for i in range(80)) < 80
+    assert similar(spark, texts) == want
