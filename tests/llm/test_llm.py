@@ -693,3 +693,24 @@ def test_similar_components_verify_the_sets(spark):
     want = brute_similar(texts)
     assert len(set(want.values())) > 50
     assert similar(spark, texts) == want
+
+
+def test_similar_components_compare_strangers_of_a_cell(spark):
+    """Near copies whose cells also hold many half-similar documents, more than the centres of two rounds."""
+    r = random.Random(33)
+    page = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(45):
+        own = [f"own{i}x{k}" for k in range(60)]
+        copy = page + own
+        copy[r.randrange(200)] = "changed"
+        texts |= {i: " ".join(page + own), 1000 + i: " ".join(copy)}
+    want = brute_similar(texts)
+    assert len(set(want.values())) > 30
+    assert similar(spark, texts) == want
+    few = simhash.CENTRES
+    try:
+        simhash.CENTRES = 1
+        assert similar(spark, texts) == want
+    finally:
+        simhash.CENTRES = few
