@@ -2,7 +2,7 @@
 
 A tree hashes a vector to a string of BITS sign bits of random projections and keeps a block's strings in a sorted array; a subtree is a range
 of that array. A query descends in each tree to its longest-prefix matches, by binary search. From there all trees ascend
-together, one bit at a time: the shared prefix shrinks and the ranges widen until the trees hold enough candidates.
+together, one bit at a time: the shared prefix shrinks and the ranges widen until the trees hold enough distinct candidates.
 The candidates are scored exactly on the original vectors.
 
 For the largest inner product a vector x is hashed as (x, sqrt(M^2 - |x|^2)) with M the longest length, which makes the angle
@@ -22,8 +22,8 @@ from .vectors import BLOCK_ROWS, best_of, search_blocks, usable
 
 TREES = 64
 BITS = 24
-#: The ascent stops when the trees hold this share of the block, counting a row once a tree. In a block of at most SMALL k rows it goes
-#: on to the roots, so that every row is a candidate.
+#: The ascent stops when the trees hold this share of the block's distinct vectors, and SMALL k of them at least: a row counts once
+#: whatever the trees that hold it, copies of a vector count once. In a block of at most SMALL k distinct vectors every row is a candidate.
 SHARE, SMALL = 0.65, 20
 SEED = 20240607
 
@@ -38,8 +38,16 @@ def _strings(x: np.ndarray, top: float, trees: int, bits: int, extra: bool) -> n
 
 
 def _forest(k: int, top: float, trees: int, bits: int, share: float):
+    def distinct(kind, order, low, high):
+        found = np.zeros(len(kind), bool)
+        for t in range(trees):
+            found[kind[order[t, low[t] : high[t]]]] = True
+        return found.sum()
+
     def search(qids, q, ids, a):
-        want = share * len(ids) if len(ids) > SMALL * k else trees * len(ids)
+        kinds, kind = np.unique(a, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        want = min(len(kinds), max(share * len(kinds), SMALL * k))
         strings = _strings(a, top, trees, bits, True)
         order = np.argsort(strings, axis=1, kind="stable")
         strings = np.take_along_axis(strings, order, 1)
@@ -53,7 +61,8 @@ def _forest(k: int, top: float, trees: int, bits: int, share: float):
                 prefix = (asked[t, left] >> drop) << drop
                 low[t, left] = np.searchsorted(strings[t], prefix, "left")
                 high[t, left] = np.searchsorted(strings[t], prefix + (1 << drop), "left")
-            left = left[(high[:, left] - low[:, left]).sum(0) < want]
+            held = (high[:, left] - low[:, left]).sum(0)
+            left = np.array([i for i, n in zip(left, held) if n < want or distinct(kind, order, low[:, i], high[:, i]) < want], np.int64)
             if not len(left):
                 break
         hit = np.zeros(len(ids), bool)
@@ -72,7 +81,7 @@ def _forest(k: int, top: float, trees: int, bits: int, share: float):
 def nearest(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_filter=None, k: int = 20, trees: int = TREES, bits: int = BITS, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest found by inner product, nearest first, ties to the smaller id.
 
-    Null, zero and non-finite vectors and null ids take no part. In blocks of at most SMALL k rows every
+    Null, zero and non-finite vectors and null ids take no part. In blocks of at most SMALL k distinct vectors every
     row is a candidate, so small tables are exact. Scores are the double inner products of the original
     vectors. An empty table gives an empty result.
     """

@@ -714,3 +714,25 @@ def test_similar_components_compare_strangers_of_a_cell(spark):
         assert similar(spark, texts) == want
     finally:
         simhash.CENTRES = few
+
+
+# ---- 6: distinct candidates
+
+
+def forest_recall(x, k=20):
+    """Recall of the scores of the k best against brute force, in one block."""
+    top = float(np.sqrt((x * x).sum(1).max()))
+    asked = np.arange(0, len(x), 20)
+    search = lsh_forest._forest(k, top, lsh_forest.TREES, lsh_forest.BITS, lsh_forest.SHARE)
+    hit = 0
+    for i, at, _ in search(asked, x[asked], np.arange(len(x)), x):
+        s = np.delete(x @ x[asked[i]], asked[i])
+        hit += (x[at] @ x[asked[i]] >= np.sort(s)[-k] - 1e-9).sum()
+    return hit / (k * len(asked))
+
+
+@pytest.mark.parametrize("n, copies", [(500, 1), (1000, 1), (1000, 11)])
+def test_lsh_forest_counts_distinct_candidates(n, copies):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((n // copies, 64))
+    assert forest_recall(np.repeat(x / np.linalg.norm(x, axis=1)[:, None], copies, axis=0)) >= 0.95
