@@ -96,6 +96,13 @@ def box_iou(spark, sf_dir):
     return pairwise_iou(boxes, boxes, ["img_id", "class"]).filter(F.col("iou") > b.f32(0.1))
 
 
+@query()
+def box_iou_all(spark, sf_dir):
+    """All pairs of an image, of any class and overlap. Without SQL, which takes long; tested against brute force."""
+    boxes = lineitem_boxes(spark, sf_dir)
+    return pairwise_iou(boxes, boxes, ["img_id"])
+
+
 @query(f"WITH {_B} SELECT img_id, idx, score, (row_number() OVER (PARTITION BY img_id ORDER BY score DESC, idx) - 1)::INT AS rank FROM b", "score_order")
 def score_order_query(spark, sf_dir):
     return score_order(lineitem_boxes(spark, sf_dir).select("img_id", "idx", "score"), ["img_id"])

@@ -130,3 +130,20 @@ def test_streams(spark, tmp_path):
     per_batch(stream, lambda b: nms(b, 0.5, ["img_id"]), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "cp")).awaitTermination(120)
     got = sorted(r.idx for r in spark.read.parquet(f"{out}/0").collect())
     assert got == sorted(r.idx for r in nms(df, 0.5, ["img_id"]).collect())
+
+
+def test_box_iou_all_gives_every_pair_of_an_image(spark, duck):
+    from quern.catalog.boxes import lineitem_boxes
+
+    boxes = lineitem_boxes(spark, SF)
+    image = boxes.agg(F.min("img_id")).first()[0]
+    rows = boxes.filter(F.col("img_id") == image).orderBy("idx").collect()
+    x = np.array([[r.x1, r.y1, r.x2, r.y2] for r in rows], np.float32)
+    size = (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    side = lambda k: np.maximum(np.minimum(x[:, None, k + 2], x[None, :, k + 2]) - np.maximum(x[:, None, k], x[None, :, k]), np.float32(0))
+    common = side(0) * side(1)
+    want = common / (size[:, None] + size[None] - common)
+    got = catalog.QUERIES["box_iou_all"](spark, SF).filter(F.col("img_id") == image).orderBy("a_idx", "b_idx").toArrow()
+    assert got.num_rows == len(rows) ** 2 and (want == 0).any()
+    assert np.array_equal(got["iou"].to_numpy().reshape(want.shape), want)
+    assert got["a_idx"].to_pylist()[:: len(rows)] == [r.idx for r in rows]
