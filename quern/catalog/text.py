@@ -63,6 +63,14 @@ def encode_padded_longest(spark, sf_dir):
     return _batch(spark, sf_dir, "longest")
 
 
+@query()
+def encode_padded_longest_whole(spark, sf_dir):
+    """Whole texts padded to the longest of their batch, without truncation. Without SQL; tested against brute force."""
+    rows = encoded(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10).alias("batch"), F.concat(F.array(F.lit(1)), "ids", F.array(F.lit(2))).alias("ids"))
+    done = op.pad_batch(rows, TextOptions(padding="longest"), 0, ["batch"])
+    return done.select("doc_id", joined("ids").alias("ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, v: s + v).cast("int").alias("ones"))
+
+
 _CIDS = f"""c AS (SELECT conv_id, turn, w[i] AS piece, i AS pos FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, {_SPLIT} AS w FROM conversations))),
 k AS (SELECT conv_id, turn, pos, coalesce(id, 3) AS id, lag(coalesce(id, 3)) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM c LEFT JOIN vocab USING (piece))"""
 

@@ -147,3 +147,13 @@ def test_box_iou_all_gives_every_pair_of_an_image(spark, duck):
     assert got.num_rows == len(rows) ** 2 and (want == 0).any()
     assert np.array_equal(got["iou"].to_numpy().reshape(want.shape), want)
     assert got["a_idx"].to_pylist()[:: len(rows)] == [r.idx for r in rows]
+
+
+def test_encode_padded_longest_whole_cuts_nothing(spark, duck):
+    ids = {r.doc_id: r.ids.split() for r in catalog.QUERIES["wordlevel_encode"](spark, SF).collect()}
+    longest = {}
+    for i, v in ids.items():
+        longest[i % 10] = max(longest.get(i % 10, 0), len(v) + 2)
+    assert max(longest.values()) > 1000
+    got = {r.doc_id: (r.ids.split(), r.ones) for r in catalog.QUERIES["encode_padded_longest_whole"](spark, SF).collect()}
+    assert got == {i: (["1", *v, "2"] + ["0"] * (longest[i % 10] - len(v) - 2), len(v) + 2) for i, v in ids.items()}
