@@ -6,17 +6,23 @@ of logarithmic cost. It ends when the root holds no rank.
 
 The tokenizer file is public and of fixed size; the driver reads it and sends it to the workers. Words repeat, so a
 worker keeps the ids of words it has met; the memory for them is bounded and has no influence on results.
+
+Which characters are letters, numbers or white space, their lower case and their composition depend on a version of Unicode. The driver
+asks the tokenizers library for all of them once (`Characters.of_library`), so that neither Python's tables nor another package's count.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
 import unicodedata
+from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +32,51 @@ from .common import fresh, hold, prepare
 #: Runs without white space whose ids a worker remembers: half of them new or met again since the other half was new.
 CACHE_WORDS = 800_000
 _NONE = 1 << 60
-#: White space as the tokenizer's patterns mean it (the Unicode property; fixed values).
-_SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: Code points that a version of Unicode can give a class, a lower case or a composition: planes 0 to 3 without surrogates, and tags. All
+#: others are unassigned or private.
+_CODE_POINTS = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
+
+
+@dataclass(frozen=True)
+class Characters:
+    """Character tables: classes as the inside of a bracket expression, the lower case of each character that has another one, and
+    the characters that take no part in composition although Python's tables compose or reorder them."""
+
+    classes: dict[str, str]
+    lower: dict[int, str]
+    inert: frozenset[int]
+
+    @staticmethod
+    @functools.lru_cache(1)
+    def of_library() -> Characters:
+        """The tables of the installed tokenizers library, by probing every code point that can be in them."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        text = "".join(map(chr, _CODE_POINTS))
+
+        def ranges(pattern: str) -> str:
+            runs = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(text)
+            return "".join(f"\\U{ord(r[0]):08X}-\\U{ord(r[-1]):08X}" for r, _ in runs)
+
+        small, composed, apart = normalizers.Lowercase().normalize_str, normalizers.NFC().normalize_str, normalizers.NFD().normalize_str
+        lower = {}
+        for i in range(0, len(text), 1024):
+            part = text[i : i + 1024]
+            if small(part) != part:
+                lower |= {ord(c): low for c in part if (low := small(c)) != c}
+        inert, known = set(), set()
+        for c, x in zip(_CODE_POINTS, text):
+            if unicodedata.combining(x):
+                # A mark that sorts after U+0323 or before U+0345 shows its class by moving there.
+                if any(composed(t) != unicodedata.normalize("NFC", t) for t in (f"a{x}\u0323", f"a\u0345{x}")):
+                    inert.add(c)
+            if (parts := unicodedata.decomposition(x)) and not parts.startswith("<"):
+                members = {int(p, 16) for p in parts.split()}
+                if apart(x) == unicodedata.normalize("NFD", x):
+                    known |= members
+                else:
+                    inert |= {c, *members}
+        return Characters({k: ranges(k) for k in (r"\p{L}", r"\p{N}", r"\s")}, lower, frozenset(inert - known))
 
 
 def byte_symbols() -> list[str]:
@@ -102,7 +151,8 @@ class WordBpe:
     it needs no step here), lower case per character, words by pattern, byte-level symbols, BPE with an end-of-word suffix, no
     decoder."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, characters: Characters | None = None):
+        characters = characters or Characters.of_library()
         j = json.loads(definition)
         model = j["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges"):
@@ -118,22 +168,32 @@ class WordBpe:
         added = {t["content"]: t["id"] for t in j.get("added_tokens") or ()}
         self.added = added
         self.tokens |= {i: t for t, i in added.items()}
-        self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.special = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         kinds = [x["type"] for x in j["normalizer"]["normalizers"]]
         split = next(x for x in j["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         if kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"] or split["behavior"] != "Removed":
             raise ValueError("not the normalizer and pattern that this class is for")
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE), regex.V0)
-        self.spaces = regex.compile(f"[{_SPACE}]+")
-        self.odd = regex.compile(r"[\x1C-\x1F]")  # white space to str.split(), not to the patterns
-        self.numbers: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
-        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
+        pattern = split["pattern"]["Regex"]
+        for name, inside in characters.classes.items():
+            pattern = pattern.replace(name, inside)
+        self.pattern = re.compile(pattern)
+        self.spaces = re.compile(f"[{characters.classes[r'\s']}]+")
+        self.lower = characters.lower
+        self.inert = re.compile("([" + "".join(map(re.escape, map(chr, sorted(characters.inert)))) + "])") if characters.inert else None
+        # str.split() and str.lower() are faster, and the same unless a text has one of these.
+        self.odd_space = [chr(c) for c in _CODE_POINTS if chr(c).isspace() != bool(self.spaces.match(chr(c)))]
+        odd_case = [chr(c) for c in _CODE_POINTS if chr(c).lower() != self.lower.get(c, chr(c))] + ["Σ"]
+        self.odd_case = re.compile("[" + "".join(map(re.escape, odd_case)) + "]")
+        self.plain_latin = min(map(ord, odd_case)) > 255 and min(characters.inert, default=256) > 255
+        self.texts: dict[int, str] = {i: str(i) for i in self.tokens}
+        self.same = {i: i for i in self.tokens}  # one object for each id, however many words hold it
+        self.runs: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def word(self, w: str) -> list[int]:
         data = w.encode("utf-8", "replace")
         ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return merge_ranks([i for i in ids if i is not None], self.pairs)
+        return [self.same[i] for i in merge_ranks([i for i in ids if i is not None], self.pairs)]
 
     def _pieces(self, text: str):
         """(is an added token, its id or the normalized segment)."""
@@ -147,122 +207,115 @@ class WordBpe:
             yield False, self.normalize(text[at:])
 
     def normalize(self, s: str) -> str:
-        if not s.isascii():
-            s = unicodedata.normalize("NFC", s)
-            if "Σ" in s:
-                s = s.replace("Σ", "σ")  # per character: no final form
-        return s.lower()
+        if s.isascii():
+            return s.lower()
+        if self.plain_latin:
+            try:
+                s.encode("latin-1")
+                return unicodedata.normalize("NFC", s).lower()
+            except UnicodeEncodeError:
+                pass
+        parts = self.inert.split(s) if self.inert and self.inert.search(s) else [s]
+        s = "".join([unicodedata.normalize("NFC", p) for p in parts])
+        return s.translate(self.lower) if self.odd_case.search(s) else s.lower()
 
     def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text. No word spans white space, so a run without white space is encoded once and remembered."""
         out: list[int] = []
         for special, x in self._pieces(text or ""):
             if special:
                 out.append(x)
-            else:
-                for w in self.pattern.findall(x):
-                    out += self.word(w)
+                continue
+            runs = [r for r in self.spaces.split(x) if r] if any(c in x for c in self.odd_space) else x.split()
+            if 2 * len(self.runs) >= CACHE_WORDS:
+                self.before, self.runs = self.runs, {}
+            known = self.runs
+            for r in set(runs).difference(known):
+                ids = self.before.get(r)
+                if ids is None:
+                    ids = []
+                    for w in (r,) if r.isascii() and r.isalpha() else self.pattern.findall(r):
+                        got = known.get(w) or self.before.get(w)
+                        if got is None:
+                            got = known[w] = self.word(w)
+                        ids = ids + got
+                known[r] = ids
+            out.extend(chain.from_iterable(map(known.__getitem__, runs)))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
-
-    def _recalled(self, r: str) -> bool:
-        """Move a run from the old half of the memory to the new one, if it is there."""
-        numbers, shown = self.before
-        got = numbers.get(r)
-        if got is None:
-            return False
-        self.numbers[r], self.shown[r] = got, shown[r]
-        return True
+        tokens = self.tokens
+        try:
+            return " ".join(map(tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join([tokens[i] for i in ids if i in tokens])
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of the ids (decimal, joined by a space) and of the decoded text.
-
-        No word spans white space, so a run without white space is encoded once and remembered.
-        """
-        numbers, shown = [], []
-        for special, x in self._pieces(text or ""):
-            if special:
-                numbers.append(str(x))
-                shown.append(self.tokens[x])
-                continue
-            runs = [r for r in self.spaces.split(x) if r] if self.odd.search(x) else x.split()
-            if not runs:
-                continue
-            if 2 * len(self.numbers) >= CACHE_WORDS:
-                self.before = self.numbers, self.shown
-                self.numbers, self.shown = {}, {}
-            for r in set(runs).difference(self.numbers):
-                if self._recalled(r):
-                    continue
-                words = (r,) if r.isalpha() else self.pattern.findall(r)
-                for w in words:
-                    if w not in self.numbers and not self._recalled(w):
-                        ids = self.word(w)
-                        self.numbers[w] = " ".join(map(str, ids))
-                        self.shown[w] = " ".join(map(self.tokens.__getitem__, ids))
-                if r not in self.numbers:
-                    self.numbers[r] = " ".join([self.numbers[w] for w in words])
-                    self.shown[r] = " ".join([self.shown[w] for w in words])
-            numbers.append(" ".join(map(self.numbers.__getitem__, runs)))
-            shown.append(" ".join(map(self.shown.__getitem__, runs)))
-        ids = " ".join(numbers)
-        return (ids.count(" ") + 1 if ids else 0), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join(shown).encode()).hexdigest()
+        """Number of ids, and SHA-256 of the ids (decimal, joined by a space) and of the text that they decode to."""
+        ids = self.encode(text)
+        shown = " ".join(map(self.texts.__getitem__, ids))
+        return len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 _loaded: dict[str, WordBpe] = {}
 
 
-def _tokenizer(definition: str) -> WordBpe:
+def _tokenizer(model: tuple[str, Characters]) -> WordBpe:
     hold("bpe", _loaded.clear)
-    key = hashlib.sha256(definition.encode()).hexdigest()
+    key = hashlib.sha256(model[0].encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WordBpe(definition)
+        _loaded[key] = WordBpe(*model)
     return _loaded[key]
 
 
 def _broadcast(docs: DataFrame, path: str):
+    """The tokenizer's definition and character tables: of fixed size, whatever the input."""
     prepare(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+    return docs.sparkSession.sparkContext.broadcast((Path(path).read_text(encoding="utf-8"), Characters.of_library()))
 
 
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Every row with the ids of its whole text (null: none) in out_col."""
-    model = _broadcast(docs, path)
-    (source,) = fresh(docs, "_bpe_text")
+def _replaced(rows: DataFrame, source_col: str, out_col: str, kind: T.DataType, one, path: str) -> DataFrame:
+    """The rows with out_col, in place of a column of that name, made of source_col by `one(tokenizer, value)`."""
+    model = _broadcast(rows, path)
+    (source,) = fresh(rows, "_bpe_source")
+    rest = [f for f in rows.schema.fields if f.name.lower() != out_col.lower()]
 
     def run(batches):
         t = _tokenizer(model.value)
         for b in batches:
-            ids = [t.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], out_col])
+            made = pa.array([one(t, x) for x in b.column(b.num_columns - 1).to_pylist()], arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*b.schema.names[:-1], out_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    return docs.withColumn(source, F.col(text_col)).mapInArrow(run, schema)
+    arrow = pa.string() if kind == T.StringType() else pa.list_(pa.int32())
+    picked = rows.select(*[F.col(f"`{f.name}`") for f in rest], F.col(source_col).alias(source))
+    return picked.mapInArrow(run, T.StructType([*rest, T.StructField(out_col, kind)]))
 
 
-def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Every row with the text of its ids (null: empty) in out_col."""
-    model = _broadcast(rows, path)
-    (source,) = fresh(rows, "_bpe_ids")
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """Every row with the ids of its whole text in out_col; a column of that name is replaced.
+
+    Null and empty texts have no ids; a text of any length is encoded whole. Repeated rows stay, other columns
+    pass through. An empty table gives an empty result.
+    """
+    return _replaced(docs, text_col, out_col, T.ArrayType(T.IntegerType()), lambda t, x: t.encode(x), path)
 
-    def run(batches):
-        t = _tokenizer(model.value)
-        for b in batches:
-            texts = [t.decode(x or []) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], out_col])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
-    return rows.withColumn(source, F.col(ids_col)).mapInArrow(run, schema)
+def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Every row with the text of its ids in out_col; a column of that name is replaced.
+
+    Null and empty lists give the empty text, unknown and null ids are left out. Repeated rows stay, other columns pass through. An
+    empty table gives an empty result.
+    """
+    return _replaced(rows, ids_col, out_col, T.StringType(), lambda t, x: t.decode(x or []), path)
 
 
 def document_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text; one pass, no shuffle.
 
-    Null and empty texts have no tokens and the digests of the empty string. Null ids, repeated rows and extra columns change
-    nothing. An empty table gives an empty result.
+    Null and empty texts have no tokens and the digests of the empty string; a text of any length is encoded whole. Null ids, repeated
+    rows and extra columns change nothing. An empty table gives an empty result.
     """
     model = _broadcast(docs, path)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import duckdb
@@ -213,6 +214,29 @@ def test_bpe_equals_the_library(both):
         assert ours.digests(s) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_bpe_equals_the_library_for_every_character(both):
+    """Letters, numbers, spaces, lower case: all assigned code points; composition and order of marks: random runs of all planes."""
+    theirs, ours = both
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    spare = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"][::499]
+    texts = ["".join(f"a{c}b " for c in (every + spare)[i : i + 32]) for i in range(0, len(every) + len(spare), 32)]
+    r = random.Random(23)
+    marks = [c for c in every if unicodedata.combining(c)]
+    texts += ["".join(r.choice(r.choice((every, spare, marks, marks))) for _ in range(r.randint(1, 12))) for _ in range(8000)]
+    for s, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+        assert ours.encode(s) == e.ids, ascii(s)
+
+
+def test_bpe_replaces_columns_of_its_names(spark):
+    path = tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a b", "x", "y"), (None, None, None, "z"), (2, "word " * 60_000, "x", "y")], "doc_id long, text string, ids string, decoded string")
+    coded = bpe.encode_documents(df, path)
+    assert sorted(coded.columns) == ["decoded", "doc_id", "ids", "text"]
+    got = bpe.decode_documents(coded, path)
+    assert sorted(got.columns) == ["decoded", "doc_id", "ids", "text"]
+    assert sorted((r.doc_id or 0, len(r.ids), r.decoded[:12]) for r in got.collect()) == [(0, 0, ""), (1, 2, "a</w> b</w>"), (1, 2, "a</w> b</w>"), (2, 60_000, "word</w> wor")]
+
+
 def test_bpe_cache_has_no_influence(both, monkeypatch, rows):
     _, ours = both
     whole = [ours.digests(t) for _, t, *_ in rows]
