@@ -3,6 +3,7 @@
 import json
 import math
 import wave
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,13 +16,24 @@ from quern.plans.image import ConfigError, ImageProcessor, Size, TileProcessor,
 from quern.sources import media
 
 
-def test_sizes():
-    assert Size.shortest_edge(224).output(640, 480) == (298, 224)
-    assert Size.shortest_edge(224, 250).output(480, 640) == (187, 250)
-    assert Size.longest_edge(100).output(640, 480) == (100, 75)
-    assert Size.multiple(28, 3136, 1003520).output(640, 480) == (644, 476)
-    assert Size.multiple(28, 3136, 200000).output(1920, 1080) == (588, 308)
-    assert Size.multiple(28, 100000, 1000000).output(100, 50) == (448, 224)
+def test_sizes_follow_their_rules():
+    """Random sizes against the rules in exact fractions."""
+    r = np.random.default_rng(21)
+    for _ in range(300):
+        w, h = (int(v) for v in r.integers(30, 3000, 2))
+        edge = int(r.integers(16, 700))
+        long, short = max(w, h), min(w, h)
+        got = Size.shortest_edge(edge).output(w, h)
+        assert got[w > h] == edge and got[w <= h] == int(Fraction(edge * long, short))
+        top = int(r.integers(edge, 2 * edge + 1))
+        a, b = Size.shortest_edge(edge, top).output(w, h)
+        assert max(a, b) <= max(top, edge) and (max(a, b) <= top or long == short)
+        a, b = Size.longest_edge(edge).output(w, h)
+        assert max(a, b) == edge and abs(min(a, b) - Fraction(edge * short, long)) <= 1
+        low, high = 20_000, 400_000
+        a, b = Size.multiple(14, low, high).output(w, h)
+        assert a % 14 == b % 14 == 0 and a * b <= high and (long > 150 * short or a * b >= low or min(a, b) == 14)
+    assert Size.exact(31, 17).output(900, 20) == (31, 17)
 
 
 def test_filters():
@@ -29,11 +41,15 @@ def test_filters():
     assert parse_filter("Cubic") == "bicubic" and parse_filter("TRIANGLE") == "bilinear" and parse_filter("x") is None
 
 
-def test_center_crop_pads():
-    x = np.zeros((3, 5, 3), np.uint8)
-    x[..., 0], x[..., 1] = np.arange(5) + 1, (np.arange(3) + 1)[:, None]
-    out = image.center_crop(x, 3, 5)
-    assert out[0, 0].tolist() == [0, 0, 0] and out[1, 0].tolist() == [2, 1, 0] and out[3, 2].tolist() == [4, 3, 0] and out[4, 2].tolist() == [0, 0, 0]
+def test_center_crop_is_a_shifted_window():
+    """Against a window of a copy with wide zero borders; an odd rest is one more pixel at the right or below."""
+    r = np.random.default_rng(22)
+    for _ in range(100):
+        h, w, new_w, new_h = (int(v) for v in r.integers(1, 20, 4))
+        x = r.integers(1, 256, (h, w, 3), dtype=np.uint8)
+        top, left = (h - new_h) // 2, (w - new_w) // 2
+        want = np.pad(x, ((40, 40), (40, 40), (0, 0)))[40 + top :, 40 + left :][:new_h, :new_w]
+        assert (image.center_crop(x, new_w, new_h) == want).all()
 
 
 @pytest.mark.parametrize("name", ["box", "bilinear", "hamming", "bicubic", "lanczos", "nearest"])
@@ -63,12 +79,18 @@ def test_tensor_orders():
     assert np.allclose(t.ravel(), want, atol=1e-7)
 
 
-def test_tiles():
-    assert image.tile_sizes(1700, 2200, 2048, 512, True) == ((1582, 2048), (2048, 2048), 4, 4)
-    assert image.tile_sizes(400, 300, 2048, 2048, True) == ((2048, 1536), (2048, 2048), 0, 0)
-    plan = TileProcessor(longest_edge=64, tile=16)
-    made = list(image.tiles(np.zeros((48, 64, 3), np.uint8), plan))
-    assert len(made) == 13 and made[-1][2] and not made[0][2] and made[0][3].shape == (3, 16, 16)
+def test_tile_sizes_follow_their_rules():
+    r = np.random.default_rng(24)
+    for _ in range(200):
+        w, h = (int(v) for v in r.integers(40, 4000, 2))
+        tile, longest = int(r.choice([128, 224, 364])), int(r.choice([728, 1456, 1792]))
+        first, second, rows, cols = image.tile_sizes(w, h, longest, tile, True)
+        assert max(first) == longest and all(v % 2 == 0 or v == longest for v in first)
+        assert all(v % tile == 0 and v >= u for u, v in zip(first, second))
+        assert (rows, cols) == ((second[1] // tile, second[0] // tile) if max(second) > tile else (0, 0))
+    plan = TileProcessor(longest_edge=90, tile=30)
+    made = list(image.tiles(np.zeros((60, 90, 3), np.uint8), plan))
+    assert len(made) == 3 * 2 + 1 and made[-1][2] and not any(m[2] for m in made[:-1]) and all(m[3].shape == (3, 30, 30) for m in made)
 
 
 def test_configs():
