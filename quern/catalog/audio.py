@@ -49,13 +49,21 @@ def mel_scales(spark, sf_dir):
     return f.select("i", *[F.round(fa.hz_to_mel(F.col("f"), s), 6).alias(s) for s in _MEL], F.round(fa.mel_to_hz(fa.hz_to_mel(F.col("f"), "slaney"), "slaney"), 6).alias("back"))
 
 
-def _bank(p):
-    top = f"(SELECT {_MEL['slaney']} FROM (SELECT {p.f_max}::DOUBLE AS f))"
-    edge = f"(CASE WHEN j = {p.n_mels + 1} THEN {top} ELSE j * ({top} / {p.n_mels + 1}) END)"
-    hz = f"CASE WHEN {edge} < 15 THEN 200 * {edge} / 3.0::DOUBLE ELSE 1000 * exp(({edge} - 15) * (ln(6.4::DOUBLE) / 27)) END"
-    return f"""edges AS (SELECT j, {hz} AS hz FROM range({p.n_mels + 2}) r(j)),
-    bank AS (SELECT b::INT AS bin, a.j::INT AS mel, greatest(0, least((b * {p.sample_rate // 2}::DOUBLE / {p.n_fft // 2} - a.hz) / (m.hz - a.hz), (z.hz - b * {p.sample_rate // 2}::DOUBLE / {p.n_fft // 2}) / (z.hz - m.hz))) * 2 / (z.hz - a.hz) AS w
-      FROM range({p.n_fft // 2 + 1}) r(b), edges a JOIN edges m ON m.j = a.j + 1 JOIN edges z ON z.j = a.j + 2)"""
+_HZ = {
+    "htk": "700 * (10.0::DOUBLE ** (m / 2595.0::DOUBLE) - 1)",
+    "kaldi": "700 * (exp(m / 1127.0::DOUBLE) - 1)",
+    "slaney": "CASE WHEN m < 15 THEN 200 * m / 3.0::DOUBLE ELSE 1000 * exp((m - 15) * (ln(6.4::DOUBLE) / 27)) END",
+}
+
+
+def _bank(p, name="bank"):
+    """CTEs of the triangles of a mel filter bank, zeros included."""
+    norm = "* 2 / (z.hz - a.hz)" if p.slaney_norm else ""
+    at = f"(b * {p.sample_rate // 2}::DOUBLE / {p.n_fft // 2})"
+    return f"""{name}_top AS (SELECT {_MEL[p.scale]} AS top FROM (SELECT {p.f_max}::DOUBLE AS f)),
+    {name}_edges AS (SELECT j, {_HZ[p.scale]} AS hz FROM (SELECT j, CASE WHEN j = {p.n_mels + 1} THEN top ELSE j * (top / {p.n_mels + 1}) END AS m FROM range({p.n_mels + 2}) r(j), {name}_top)),
+    {name} AS (SELECT b::INT AS bin, a.j::INT AS mel, greatest(0, least(({at} - a.hz) / (m.hz - a.hz), (z.hz - {at}) / (z.hz - m.hz))) {norm} AS w
+      FROM range({p.n_fft // 2 + 1}) r(b), {name}_edges a JOIN {name}_edges m ON m.j = a.j + 1 JOIN {name}_edges z ON z.j = a.j + 2)"""
 
 
 _WHISPER = MelSpectrogram.whisper(80)
@@ -80,12 +88,28 @@ _POWER = f"""{_FRAMES}, basis AS (SELECT b::INT AS bin, list((0.5::DOUBLE - 0.5:
 pw AS (SELECT user_id, frame, bin, list_dot_product(v::DOUBLE[], re)::FLOAT::DOUBLE ** 2 + list_dot_product(v::DOUBLE[], im)::FLOAT::DOUBLE ** 2 AS p FROM fr, basis)"""
 
 
-@query(f"WITH {_POWER}, {_bank(SMALL)}, e AS (SELECT user_id, frame, mel, sum(p * w) AS s FROM pw JOIN bank USING (bin) GROUP BY ALL) SELECT user_id, mel, frame, round(log10(greatest(s, 1e-10::DOUBLE)), 2) AS v FROM e WHERE s > 1e-4")
+def _values(done, name):
+    """(user_id, mel, frame, v) of a tensor of mels by frames."""
+    n = F.get(f"{name}.shape", F.lit(1))
+    rows = done.select("user_id", n.alias("n"), F.posexplode(f"{name}.data").alias("i", "v"))
+    return rows.select("user_id", F.floor(F.col("i") / F.col("n")).cast("int").alias("mel"), (F.col("i") % F.col("n")).cast("int").alias("frame"), "v")
+
+
+@query(f"WITH {_POWER}, {_bank(SMALL)}, e AS (SELECT user_id, frame, mel, sum(p * w) AS s FROM pw JOIN bank USING (bin) GROUP BY ALL) SELECT user_id, mel, frame, log10(greatest(s, 1e-10::DOUBLE))::FLOAT AS v FROM e")
 def log_mel(spark, sf_dir):
-    done = op.mel_spectrogram(clips(spark, sf_dir), SMALL)
-    n = F.get("mel.shape", F.lit(1))
-    rows = done.select("user_id", n.alias("n"), F.posexplode("mel.data").alias("i", "v")).filter("v > -4")
-    return rows.select("user_id", F.floor(F.col("i") / F.col("n")).cast("int").alias("mel"), (F.col("i") % F.col("n")).cast("int").alias("frame"), F.round(F.col("v").cast("double"), 2).alias("v"))
+    return _values(op.mel_spectrogram(clips(spark, sf_dir), SMALL), "mel")
+
+
+_MODES = {
+    "none": (MelSpectrogram(n_fft=16, win_length=16, hop_length=4, n_mels=4, log="none", slaney_norm=False), "greatest(s, 1e-10::DOUBLE)"),
+    "ln": (MelSpectrogram(n_fft=16, win_length=16, hop_length=4, n_mels=4, log="ln", scale="htk", floor=1e-3), "ln(greatest(s, 1e-3::DOUBLE))"),
+    "db": (MelSpectrogram(n_fft=16, win_length=16, hop_length=4, n_mels=4, log="db", scale="kaldi", db_reference=20.0, db_min=1e-5), "10 * log10(greatest(s, 1e-5::DOUBLE)) - 10 * log10(20.0::DOUBLE)"),
+    "db_range": (MelSpectrogram(n_fft=16, win_length=16, hop_length=4, n_mels=4, log="db", scale="htk", slaney_norm=False, db_range=30.0), "greatest(10 * log10(greatest(s, 1e-10::DOUBLE)), max(10 * log10(greatest(s, 1e-10::DOUBLE))) OVER (PARTITION BY user_id) - 30)"),
+}
+for _name, (_plan, _expr) in _MODES.items():
+    query(
+        f"WITH {_POWER}, {_bank(_plan)}, e AS (SELECT user_id, frame, mel, sum(p * w) AS s FROM pw JOIN bank USING (bin) GROUP BY ALL) SELECT user_id, mel, frame, ({_expr})::FLOAT AS v FROM e", f"mel_{_name}"
+    )(lambda spark, sf_dir, plan=_plan: _values(op.mel_spectrogram(clips(spark, sf_dir), plan), "mel"))
 
 
 @query(
@@ -99,7 +123,25 @@ def resample_audio(spark, sf_dir):
     return done.select("user_id", F.posexplode("samples").alias("pos", "v")).select("user_id", "pos", F.round(F.col("v").cast("double"), 2).alias("v"))
 
 
-@query("SELECT DISTINCT user_id, '80,3000' AS shape FROM events")
-def whisper_shape(spark, sf_dir):
+# Frames that hold samples are made one by one; those after them are silent. Values of the first 16 frames stand alone, the others as
+# their least and greatest per mel.
+_WIDE = f"""{_C}, fr AS (SELECT user_id, unnest(range((len(samples) + 359) // 160))::INT AS frame, samples FROM c),
+x AS (SELECT user_id, frame, list_transform(range(400), lambda j: coalesce(samples[abs(160 * frame + j - 200) + 1], 0)::DOUBLE * (0.5::DOUBLE - 0.5::DOUBLE * cos(2.0::DOUBLE * pi() * j / 400))) AS v FROM fr),
+basis AS (SELECT b::INT AS bin, list(cos(2 * pi() * ((b * n) % 400) / 400) ORDER BY n) AS re, list(sin(2 * pi() * ((b * n) % 400) / 400) ORDER BY n) AS im FROM range(201) r(b), range(400) s(n) GROUP BY b),
+pw AS (SELECT user_id, frame, bin, list_dot_product(v, re)::FLOAT::DOUBLE ** 2 + list_dot_product(v, im)::FLOAT::DOUBLE ** 2 AS p FROM x, basis),
+{_bank(_WHISPER)}, e AS (SELECT user_id, frame, mel, log10(greatest(sum(p * w), 1e-10::DOUBLE))::FLOAT AS m FROM pw JOIN bank USING (bin) GROUP BY ALL),
+top AS (SELECT user_id, greatest(max(m), -10::FLOAT) AS top FROM e GROUP BY user_id),
+g AS (SELECT user_id, top, mel::INT AS mel, frame::INT AS frame FROM top, range(80) a(mel), range(greatest((SELECT max(frame) FROM e) + 1, 17)) b(frame)),
+f AS (SELECT user_id, mel, frame, ((greatest(coalesce(m, -10::FLOAT), (top - 8::FLOAT)::FLOAT) + 4::FLOAT)::FLOAT / 4::FLOAT)::FLOAT AS v FROM g LEFT JOIN e USING (user_id, mel, frame))"""
+
+
+@query(
+    f"""WITH {_WIDE} SELECT user_id, mel, frame, v, v AS most FROM f WHERE frame < 16
+    UNION ALL SELECT user_id, mel, -1, min(v), max(v) FROM f WHERE frame >= 16 GROUP BY user_id, mel"""
+)
+def whisper_features(spark, sf_dir):
     done = op.whisper_features(clips(spark, sf_dir), WhisperFeatures(80))
-    return done.select("user_id", F.array_join(F.transform("features.shape", lambda v: v.cast("string")), ",").alias("shape"))
+    rows = done.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("mel"), F.col("features.data").alias("x")).select("user_id", "mel", F.expr("slice(x, mel * 3000 + 1, 3000)").alias("x"))
+    first = rows.select("user_id", "mel", F.posexplode(F.slice("x", 1, 16)).alias("frame", "v")).select("*", F.col("v").alias("most"))
+    rest = F.slice("x", 17, 2984)
+    return first.unionByName(rows.select("user_id", "mel", F.lit(-1).alias("frame"), F.array_min(rest).alias("v"), F.array_max(rest).alias("most")))

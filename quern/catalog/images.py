@@ -110,13 +110,16 @@ def images(spark, sf_dir):
 
 def _weights(pairs):
     """Weight tables for (size, out, filter) triples, and the sums in order."""
-    rows = ", ".join(f"({s}, {o}, '{f}', {u}::DOUBLE)" for s, o, f in pairs for u in [{"box": 0.5, "bilinear": 1.0, "bicubic": 2.0}[f]])
+    rows = ", ".join(f"({s}, {o}, '{f}', {u}::DOUBLE)" for s, o, f in pairs for u in [{"box": 0.5, "bilinear": 1.0, "hamming": 1.0, "bicubic": 2.0, "lanczos": 3.0}[f]])
+    sinc = lambda v: f"(CASE WHEN {v} = 0 THEN 1.0::DOUBLE ELSE sin(pi() * {v}) / (pi() * {v}) END)"
     return f"""cfg(size, outn, f, support) AS (VALUES {rows}),
     o AS (SELECT cfg.*, u.o::INT AS o, size::DOUBLE / outn AS scale FROM cfg, LATERAL (SELECT unnest(range(outn)) AS o) u),
     q AS (SELECT *, (o + 0.5::DOUBLE) * scale AS center, greatest(scale, 1.0::DOUBLE) AS widen FROM o),
     q2 AS (SELECT *, greatest(trunc(center - support * widen + 0.5::DOUBLE), 0)::INT AS first, least(trunc(center + support * widen + 0.5::DOUBLE), size)::INT AS last FROM q),
     q3 AS (SELECT q2.*, u.x::INT AS tap, (u.x + first - center + 0.5::DOUBLE) * (1.0::DOUBLE / widen) AS d FROM q2, LATERAL (SELECT unnest(range(last - first)) AS x) u),
     q4 AS (SELECT *, CASE f WHEN 'box' THEN CASE WHEN d > -0.5 AND d <= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN 'bilinear' THEN greatest(1.0::DOUBLE - abs(d), 0.0::DOUBLE)
+      WHEN 'hamming' THEN CASE WHEN abs(d) >= 1 THEN 0.0::DOUBLE ELSE {sinc("d")} * (0.54::FLOAT::DOUBLE + 0.46::FLOAT::DOUBLE * cos(pi() * d)) END
+      WHEN 'lanczos' THEN CASE WHEN d >= -3 AND d < 3 THEN {sinc("d")} * {sinc("(d / 3)")} ELSE 0.0::DOUBLE END
       ELSE CASE WHEN abs(d) < 1 THEN (1.5::DOUBLE * abs(d) - 2.5::DOUBLE) * abs(d) * abs(d) + 1.0::DOUBLE WHEN abs(d) < 2 THEN (((abs(d) - 5.0::DOUBLE) * abs(d) + 8.0::DOUBLE) * abs(d) - 4.0::DOUBLE) * -0.5::DOUBLE ELSE 0.0::DOUBLE END END AS raw FROM q3),
     q5 AS (SELECT size, outn, f, o, list_reduce(list(raw ORDER BY tap), lambda a, b: a + b) AS total FROM q4 GROUP BY ALL),
     wt AS (SELECT size, outn, f, o, tap, first + tap AS pos, trunc(raw / total * 4194304 + CASE WHEN raw / total < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END)::BIGINT AS w FROM q4 JOIN q5 USING (size, outn, f, o))"""
@@ -134,11 +137,23 @@ def resize_weights(spark, sf_dir):
     return out
 
 
-def _resized(width, height, name):
+def _scaled(source, target, size, out, name):
+    """CTEs that resize the pixel rows of `source`, and the weights that they need. An axis that keeps its size is left alone."""
     clip = "greatest(least((sum(v * w) + 2097152)::BIGINT >> 22, 255), 0)::INT"
-    return f"""WITH {_P}, {_weights([(16, width, name), (12, height, name)])},
-    hz AS (SELECT img_id, y, o AS x, c, {clip} AS v FROM p JOIN wt ON p.x = wt.pos AND wt.size = 16 GROUP BY img_id, y, o, c)
-    SELECT img_id, o AS y, x, c, {clip} AS v FROM hz JOIN wt ON hz.y = wt.pos AND wt.size = 12 GROUP BY img_id, o, x, c"""
+    use = lambda axis, a, b: f"wt ON p.{axis} = wt.pos AND wt.size = {a} AND wt.outn = {b} AND wt.f = '{name}'"
+    across = f"SELECT img_id, y, o AS x, c, {clip} AS v FROM {source} p JOIN {use('x', size[0], out[0])} GROUP BY img_id, y, o, c" if size[0] != out[0] else f"SELECT * FROM {source}"
+    down = f"SELECT img_id, o AS y, x, c, {clip} AS v FROM {target}_x p JOIN {use('y', size[1], out[1])} GROUP BY img_id, o, x, c" if size[1] != out[1] else f"SELECT * FROM {target}_x"
+    return f"{target}_x AS ({across}), {target} AS ({down})", [(a, b, name) for a, b in zip(size, out)]
+
+
+def _resized(width, height, name):
+    ctes, pairs = _scaled("p", "r", (16, 12), (width, height), name)
+    return f"WITH {_P}, {_weights(pairs)}, {ctes} SELECT img_id, y, x, c, v FROM r"
+
+
+def _normal(v, mean, std):
+    pick = lambda m: f"(CASE c WHEN 0 THEN {m[0]} WHEN 1 THEN {m[1]} ELSE {m[2]} END)::FLOAT"
+    return f"((({v}::DOUBLE * (1.0::DOUBLE / 255.0::DOUBLE))::FLOAT - {pick(mean)})::FLOAT / {pick(std)})::FLOAT"
 
 
 @query(_resized(9, 20, "bicubic"))
@@ -156,8 +171,8 @@ def resize_kernel_bilinear(spark, sf_dir):
     return op.explode_pixels(op.resize(images(spark, sf_dir), 24, 5, "bilinear"), IMG)
 
 
-for _name in ("lanczos", "hamming"):
-    query(None, f"resize_kernel_{_name}")(lambda spark, sf_dir, f=_name: op.explode_pixels(op.resize(images(spark, sf_dir), 9, 20, f), IMG))
+for _name in ("lanczos", "hamming", "box"):
+    query(_resized(9, 20, _name), f"resize_kernel_{_name}")(lambda spark, sf_dir, f=_name: op.explode_pixels(op.resize(images(spark, sf_dir), 9, 20, f), IMG))
 
 
 def _steps(size, out):
@@ -197,7 +212,13 @@ def center_crop(spark, sf_dir):
     return op.explode_pixels(op.center_crop(images(spark, sf_dir), 7, 17), IMG)
 
 
-@query(None)
+_BOXED = _scaled("p", "r", (16, 12), (20, 15), "bilinear")
+
+
+@query(
+    f"""WITH {_P}, {_weights(_BOXED[1])}, {_BOXED[0]}, g AS (SELECT s_suppkey AS img_id, y::INT AS y, x::INT AS x, c::INT AS c FROM supplier, range(20) a(y), range(20) b(x), range(3) d(c))
+    SELECT g.img_id, g.y, g.x, g.c, coalesce(r.v, 114) AS v FROM g LEFT JOIN r ON r.img_id = g.img_id AND r.y = g.y - 2 AND r.x = g.x AND r.c = g.c"""
+)
 def letterbox_pixels(spark, sf_dir):
     return op.explode_pixels(op.letterbox(images(spark, sf_dir), 20, 20), IMG)
 
@@ -205,22 +226,78 @@ def letterbox_pixels(spark, sf_dir):
 _MEAN, _STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
 
 
-@query(
-    f"WITH {_P} SELECT img_id, ((c * 12 + y) * 16 + x)::INT AS pos, (((v::DOUBLE * (1.0::DOUBLE / 255.0::DOUBLE))::FLOAT - (CASE c WHEN 0 THEN {_MEAN[0]} WHEN 1 THEN {_MEAN[1]} ELSE {_MEAN[2]} END)::FLOAT)::FLOAT / (CASE c WHEN 0 THEN {_STD[0]} WHEN 1 THEN {_STD[1]} ELSE {_STD[2]} END)::FLOAT)::FLOAT AS v FROM p"
-)
+@query(f"WITH {_P} SELECT img_id, ((c * 12 + y) * 16 + x)::INT AS pos, {_normal('v', _MEAN, _STD)} AS v FROM p")
 def to_tensor(spark, sf_dir):
     done = op.process(images(spark, sf_dir), ImageProcessor(mean=_MEAN, std=_STD))
     return done.select("img_id", F.posexplode("tensor.data").alias("pos", "v"))
 
 
-@query("SELECT s_suppkey AS img_id, '3,32,32' AS shape FROM supplier")
+_WHOLE = _scaled("p", "r", (16, 12), (42, 32), "bicubic")
+
+
+@query(f"WITH {_P}, {_weights(_WHOLE[1])}, {_WHOLE[0]} SELECT img_id, ((c * 32 + y) * 32 + x - 5)::INT AS pos, {_normal('v', _MEAN, _STD)} AS v FROM r WHERE x BETWEEN 5 AND 36")
 def process_images(spark, sf_dir):
+    """Every value of resized, cropped and normalised images, in batches of one shape."""
     plan = ImageProcessor(resize=Size.shortest_edge(32), crop=(32, 32), mean=_MEAN, std=_STD)
     done = op.process_batch(images(spark, sf_dir).withColumn("batch", F.col("img_id") % 7), plan, ["batch"])
-    return done.select("img_id", F.array_join(F.transform("tensor.shape", lambda v: v.cast("string")), ",").alias("shape"))
+    return done.select("img_id", F.posexplode("tensor.data").alias("pos", "v"))
 
 
-@query("SELECT s_suppkey AS img_id, i::INT AS tile_idx, i = 12 AS is_global, '3,16,16' AS shape FROM supplier, range(13) r(i)")
+@query(f"WITH {_P}, {_weights(_WHOLE[1])}, {_WHOLE[0]} SELECT img_id, y, x - 5 AS x, c, v FROM r WHERE x BETWEEN 5 AND 36")
+def prepare_images(spark, sf_dir):
+    """Pixels after resize and crop, before they become tensors."""
+    plan = ImageProcessor(resize=Size.shortest_edge(32), crop=(32, 32))
+    return op.explode_pixels(op.prepared(images(spark, sf_dir), plan), IMG)
+
+
+_LARGE, _VIEW = _scaled("p", "r", (16, 12), (64, 48), "lanczos"), _scaled("r", "g", (64, 48), (16, 16), "lanczos")
+_HALF = (0.5, 0.5, 0.5)
+
+
+@query(
+    f"""WITH {_P}, {_weights(_LARGE[1] + _VIEW[1])}, {_LARGE[0]}, {_VIEW[0]},
+    t AS (SELECT img_id, (y // 16 * 4 + x // 16)::INT AS tile_idx, FALSE AS is_global, ((c * 16 + y % 16) * 16 + x % 16)::INT AS pos, c, v FROM r
+      UNION ALL SELECT img_id, 12, TRUE, ((c * 16 + y) * 16 + x)::INT, c, v FROM g)
+    SELECT img_id, tile_idx, is_global, pos, {_normal('v', _HALF, _HALF)} AS v FROM t"""
+)
 def tile_pixels(spark, sf_dir):
+    """Every value of every tile, the view of the whole image included."""
     done = op.tiles(images(spark, sf_dir), TileProcessor(longest_edge=64, tile=16))
-    return done.select("img_id", "tile_idx", "is_global", F.array_join(F.transform("tensor.shape", lambda v: v.cast("string")), ",").alias("shape"))
+    return done.select("img_id", "tile_idx", "is_global", F.posexplode("tensor.data").alias("pos", "v"))
+
+
+_CONFIGS = {
+    "short": '{"size": %d, "crop_size": {"height": %d, "width": 21}, "do_center_crop": true, "resample": 2}',
+    "square": '{"size": %d, "image_mean": 0.5, "image_std": [0.5, 0.25, %d], "do_normalize": true}',
+    "longest": '{"size": {"longest_edge": %d}, "resample": 1, "rescale_factor": 0.0%d}',
+    "pixels": '{"min_pixels": %d, "max_pixels": 9%d, "patch_size": 14, "merge_size": 2, "size": 3, "do_rescale": false}',
+    "none": '{"do_resize": false, "size": %d, "resample": %d}',
+}
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, 100 + p_size AS a, 1 + p_partkey % 4 AS b FROM part)
+    SELECT p_partkey, 'short' AS kind, 'shortest ' || a AS size, 'bilinear' AS resample, '21x' || b AS crop, 0.00392::DOUBLE AS rescale, NULL AS std FROM c
+    UNION ALL SELECT p_partkey, 'square', 'exact ' || a || ' ' || a, 'bicubic', NULL, 0.00392, '0.5 0.25 ' || b || '.0' FROM c
+    UNION ALL SELECT p_partkey, 'longest', 'longest ' || a, 'lanczos', NULL, round(b / 100.0::DOUBLE, 5), NULL FROM c
+    UNION ALL SELECT p_partkey, 'pixels', 'multiple 28 ' || a || ' 9' || b, 'bicubic', NULL, NULL, NULL FROM c
+    UNION ALL SELECT p_partkey, 'none', NULL, CASE b WHEN 1 THEN 'lanczos' WHEN 2 THEN 'bilinear' WHEN 3 THEN 'bicubic' ELSE 'box' END, NULL, 0.00392, NULL FROM c"""
+)
+def image_configs(spark, sf_dir):
+    """Configurations as JSON text, one of each kind per part, read by `ImageProcessor.from_config`."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (100 + F.col("p_size")).cast("long").alias("a"), (1 + F.col("p_partkey") % 4).cast("long").alias("b"))
+    texts = F.map_from_arrays(F.array(*[F.lit(k) for k in _CONFIGS]), F.array(*[F.format_string(v, "a", "b") for v in _CONFIGS.values()]))
+    rows = rows.select("p_partkey", F.explode(texts).alias("kind", "config"))
+    prepare(spark)
+
+    def read(batches):
+        for b in batches:
+            plans = [ImageProcessor.from_config(c) for c in b.column(2).to_pylist()]
+            out = {
+                "size": [p.resize and " ".join(map(str, [p.resize.kind, *(v for v in p.resize.values if v is not None)])) for p in plans], "resample": [p.resample for p in plans], "crop": [p.crop and f"{p.crop[0]}x{p.crop[1]}" for p in plans],
+                "rescale": pa.array([None if p.rescale is None else round(p.rescale, 5) for p in plans], pa.float64()), "std": pa.array([p.std and " ".join(map(str, p.std)) for p in plans], pa.string()),
+            }
+            out = {k: v if isinstance(v, pa.Array) else pa.array(v, pa.string()) for k, v in out.items()}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out.values()], ["p_partkey", "kind", *out])
+
+    return rows.mapInArrow(read, "p_partkey long, kind string, size string, resample string, crop string, rescale double, std string")

@@ -90,6 +90,11 @@ def process(df: DataFrame, plan: ImageProcessor, col: str = "image", out: str =
     return _apply(df, col, out, _TENSOR, TENSOR_DDL, lambda x: pack_tensor(k.process(x, plan)))
 
 
+def prepared(df: DataFrame, plan: ImageProcessor, col: str = "image") -> DataFrame:
+    """RGB, resize and crop of each image, before it becomes a tensor."""
+    return _apply(df, col, col, _PIXELS, IMAGE_DDL, lambda x: pack(k.prepare(x, plan)))
+
+
 def process_batch(df: DataFrame, plan: ImageProcessor, batch: list[str], col: str = "image", out: str = "tensor") -> DataFrame:
     """As `process`; raises if the tensors of a batch (rows of equal batch columns) differ in shape."""
     done = process(df, plan, col, out)
