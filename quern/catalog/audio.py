@@ -1,10 +1,14 @@
 """Clips: the values of events per user in the order of time; mel scales and filter banks."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import audio as fa
 from ..operators import audio as op
 from ..plans.audio import MelSpectrogram, WaveformProcessor, WhisperFeatures
+from ..session import prepare
+from ..sources import media
 from . import query, table
 
 _C = "c AS (SELECT user_id, list(value::FLOAT ORDER BY ts, event_id) AS samples FROM events GROUP BY user_id)"
@@ -145,3 +149,18 @@ def whisper_features(spark, sf_dir):
     first = rows.select("user_id", "mel", F.posexplode(F.slice("x", 1, 16)).alias("frame", "v")).select("*", F.col("v").alias("most"))
     rest = F.slice("x", 17, 2984)
     return first.unionByName(rows.select("user_id", "mel", F.lit(-1).alias("frame"), F.array_min(rest).alias("v"), F.array_max(rest).alias("most")))
+
+
+@query(f"WITH {_C} SELECT user_id, 22050 AS sample_rate, (i - 1)::INT AS pos, (greatest(least(round_even(samples[i]::DOUBLE / 256 * 32768, 0), 32767), -32768) / 32768)::FLOAT AS v FROM c, LATERAL (SELECT unnest(range(1, len(samples) + 1)) AS i)")
+def decode_wav(spark, sf_dir):
+    """Clips written as 16-bit WAV files and read."""
+    prepare(spark)
+
+    def run(batches):
+        for b in batches:
+            made = [media.encode_wav(np.array(v, np.float32).astype(np.float64) / 256, 22050) for v in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    files = clips(spark, sf_dir).mapInArrow(run, "path string, content binary")
+    done = media.decode_wavs(files).select(F.col("path").cast("long").alias("user_id"), "sample_rate", F.posexplode("samples").alias("pos", "v"))
+    return done

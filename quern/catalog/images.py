@@ -8,6 +8,7 @@ from ..functions import geometry as g
 from ..operators import image as op
 from ..plans.image import ImageProcessor, Size, TileProcessor
 from ..session import prepare
+from ..sources import media
 from . import query, table
 
 _W, _H = "CAST(16 + (p_partkey * 37) % 2000 AS INT)", "CAST(16 + (p_size * 61 + p_partkey * 7) % 1500 AS INT)"
@@ -301,3 +302,57 @@ def image_configs(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out.values()], ["p_partkey", "kind", *out])
 
     return rows.mapInArrow(read, "p_partkey long, kind string, size string, resample string, crop string, rescale double, std string")
+
+
+def _files(spark, sf_dir, encode):
+    """(path, content): a file of each image, path being its number."""
+    prepare(spark)
+
+    def run(batches):
+        for b in batches:
+            made = [encode(np.frombuffer(v["data"], np.uint8).reshape(v["height"], v["width"], 3), i) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    return images(spark, sf_dir).mapInArrow(run, "path string, content binary")
+
+
+def _read_back(files):
+    return op.explode_pixels(media.decode_images(files).select(F.col("path").cast("long").alias("img_id"), "image"), IMG)
+
+
+@query(f"WITH {_P} SELECT img_id, y, x, c, v FROM p")
+def decode_png(spark, sf_dir):
+    """PNG files with all five row filters, every other one interlaced."""
+    return _read_back(_files(spark, sf_dir, lambda x, i: media.encode_png(x, (4, 3, 2, 1, 0), i % 2 == 1)))
+
+
+@query(f"WITH {_P} SELECT img_id, y, x, c, v FROM p")
+def decode_pnm(spark, sf_dir):
+    return _read_back(_files(spark, sf_dir, lambda x, i: b"P6\n# a comment\n%d %d\n255\n" % (x.shape[1], x.shape[0]) + x.tobytes()))
+
+
+@query("SELECT s_suppkey AS img_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 16 END::INT AS width, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown image format' END AS error FROM supplier")
+def decode_errors(spark, sf_dir):
+    """Files of which every third is none of the formats: they stay, with an error."""
+    files = _files(spark, sf_dir, lambda x, i: b"no image" if i % 3 == 0 else media.encode_png(x))
+    return media.decode_images(files, tolerant=True).select(F.col("path").cast("long").alias("img_id"), "image.width", "error")
+
+
+@query("SELECT vec_id, i::INT AS pos, embedding[i + 1]::FLOAT::DOUBLE AS v FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)")
+def decode_npy(spark, sf_dir):
+    """Arrays written as `.npy` files and read."""
+    prepare(spark)
+
+    def run(batches):
+        import io
+
+        for b in batches:
+            made = []
+            for v in b.column(1).to_pylist():
+                out = io.BytesIO()
+                np.save(out, np.array(v, np.float32))
+                made.append(media.read_npy(out.getvalue()).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.float64()))], ["vec_id", "x"])
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("embedding is not null")
+    return rows.mapInArrow(run, "vec_id long, x array<double>").select("vec_id", F.posexplode("x").alias("pos", "v"))

@@ -1,10 +1,13 @@
 """Words of documents and conversations against vocabularies of ranked words; SentencePiece models made in code."""
 
+import struct
+
 from pyspark.sql import functions as F
 
-from ..kernels.sentencepiece import SentencePiece
+from ..kernels.sentencepiece import KINDS, SentencePiece
 from ..operators import text as op
 from ..plans.text import TextOptions
+from ..sources.tokenizers import Tokenizer
 from . import query, table
 
 _SPLIT = "list_filter(string_split(text, ' '), lambda w: w <> '')"
@@ -118,9 +121,10 @@ def _encoded(kind):
         from ..session import prepare
 
         prepare(spark)
+        data = model_file(model(kind))
 
         def encode(batches):
-            m = model(kind)
+            m = SentencePiece.from_bytes(data)
             for b in batches:
                 ids = [m.encode(t or "") for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(map(str, x)) for x in ids], pa.string()), pa.array([m.decode(x) for x in ids], pa.string())], ["conv_id", "turn", "ids", "decoded"])
@@ -130,7 +134,35 @@ def _encoded(kind):
     return run
 
 
-query(None, "sp_unigram_encode")(_encoded("unigram"))
+def _literal(v):
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _unigram_sql():
+    """The best segmentation by recursion over positions: the best score and ids of the last three, scores in single precision, the earlier
+    start on ties. Characters without a piece are their bytes."""
+    m = model("unigram")
+    known = ", ".join(f"({_literal(p)}, {i}, {m.scores[i]!r}::FLOAT)" for i, p in enumerate(m.pieces) if m.kinds[i] == "normal")
+    option = lambda k: f"SELECT {k} AS k, p.id, p.score FROM own p WHERE p.piece = s[n - {k - 1}:n + 1] AND n + 1 >= {k}"
+    return f"""WITH RECURSIVE own(piece, id, score) AS MATERIALIZED (VALUES {known}),
+    t AS (SELECT conv_id, turn, CASE WHEN z = '' THEN '' ELSE '▁' || replace(z, ' ', '▁') END AS s, z FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), ' +', ' ', 'g') AS z FROM conversations)),
+    w AS (SELECT DISTINCT unnest(string_split(replace(s, '▁', chr(1) || '▁'), chr(1))) AS word FROM t),
+    ch AS (SELECT word, i, word[i] AS c, word[greatest(i - 1, 1):i] AS two, word[greatest(i - 2, 1):i] AS three FROM w, LATERAL (SELECT unnest(range(1, len(word) + 1)) AS i) WHERE word <> ''),
+    e AS MATERIALIZED (SELECT word, i, c, a.id AS id1, a.score AS s1, CASE WHEN i >= 2 THEN b.id END AS id2, b.score AS s2, CASE WHEN i >= 3 THEN d.id END AS id3, d.score AS s3,
+      list_transform(string_split(trim(regexp_replace(hex(encode(c)), '(..)', '\\1 ', 'g')), ' '), lambda h: 3 + ('0x' || h)::BIGINT) AS raw
+      FROM ch LEFT JOIN own a ON a.piece = c LEFT JOIN own b ON b.piece = two AND i >= 2 LEFT JOIN own d ON d.piece = three AND i >= 3),
+    best AS (
+      SELECT word, 0::BIGINT AS i, 0::FLOAT AS b1, NULL::FLOAT AS b2, NULL::FLOAT AS b3, []::BIGINT[] AS l1, NULL::BIGINT[] AS l2, NULL::BIGINT[] AS l3 FROM w WHERE word <> ''
+      UNION ALL
+      SELECT word, i, CASE WHEN v3 >= v2 AND v3 >= v1 THEN v3 WHEN v2 >= v1 THEN v2 ELSE v1 END, b1, b2, CASE WHEN v3 >= v2 AND v3 >= v1 THEN list_append(l3, id3) WHEN v2 >= v1 THEN list_append(l2, id2) WHEN id1 IS NULL THEN list_concat(l1, raw) ELSE list_append(l1, id1) END, l1, l2
+      FROM (SELECT e.*, b.b1, b.b2, b.l1, b.l2, b.l3, (b.b1 + coalesce(s1, {float(m.low) - 10!r}::FLOAT))::FLOAT AS v1, CASE WHEN id2 IS NULL THEN '-inf'::FLOAT ELSE (b.b2 + s2)::FLOAT END AS v2, CASE WHEN id3 IS NULL THEN '-inf'::FLOAT ELSE (b.b3 + s3)::FLOAT END AS v3 FROM best b JOIN e ON e.word = b.word AND e.i = b.i + 1)
+    ),
+    ids AS (SELECT word, {_TEXT.format("l1")} AS ids FROM best WHERE i = len(word)),
+    x AS (SELECT conv_id, turn, z, u.word, u.n FROM t, LATERAL (SELECT unnest(list_filter(string_split(replace(s, '▁', chr(1) || '▁'), chr(1)), lambda v: v <> '')) AS word, generate_subscripts(list_filter(string_split(replace(s, '▁', chr(1) || '▁'), chr(1)), lambda v: v <> ''), 1) AS n) u)
+    SELECT t.conv_id, t.turn, coalesce(string_agg(ids, ' ' ORDER BY n), '') AS ids, t.z AS decoded FROM t LEFT JOIN x ON x.conv_id = t.conv_id AND x.turn = t.turn LEFT JOIN ids ON ids.word = x.word GROUP BY t.conv_id, t.turn, t.z"""
+
+
+query(_unigram_sql(), "sp_unigram_encode")(_encoded("unigram"))
 query(None, "sp_bpe_encode")(_encoded("bpe"))
 
 
@@ -138,5 +170,98 @@ query(None, "sp_bpe_encode")(_encoded("bpe"))
     r"""SELECT conv_id, turn, CASE WHEN s = '' THEN '' ELSE '▁' || replace(s, ' ', '▁') END AS normalized FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), ' +', ' ', 'g') AS s FROM conversations)"""
 )
 def sp_normalize(spark, sf_dir):
-    s = F.regexp_replace(F.regexp_replace("text", "^ +| +$", ""), " +", " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(s == "", F.lit("")).otherwise(F.concat(F.lit("▁"), F.replace(s, F.lit(" "), F.lit("▁")))).alias("normalized"))
+    """Normalised texts of a SentencePiece model."""
+    return op.normalized(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), model("unigram"), "text", "normalized").drop("text")
+
+
+def wordlevel_model(spark, sf_dir):
+    """A `tokenizer.json` of the vocabulary: words between spaces, a frame of two ids. The vocabulary has 2,000 words at most."""
+    import json
+
+    words = {r.piece: r.id for r in vocabulary(spark, sf_dir).collect()}
+    special = ["<pad>", "<begin>", "<end>", "<other>"]
+    frame = [{"SpecialToken": {"id": special[1], "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": special[2], "type_id": 0}}]
+    return json.dumps({
+        "version": "1.0", "truncation": None, "padding": None, "normalizer": None, "decoder": None,
+        "added_tokens": [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(special[:3])],
+        "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False},
+        "post_processor": {"type": "TemplateProcessing", "single": frame, "pair": [], "special_tokens": {t: {"id": t, "ids": [i], "tokens": [t]} for i, t in list(enumerate(special))[1:3]}},
+        "model": {"type": "WordLevel", "vocab": {t: i for i, t in enumerate(special)} | words, "unk_token": special[3]},
+    }).encode()
+
+
+def _processor(spark, sf_dir, **options):
+    return op.TextProcessor(Tokenizer.from_bytes(wordlevel_model(spark, sf_dir)), TextOptions(**options))
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("batch"))
+
+
+@query(f"WITH {_VOCAB}, {_IDS} SELECT doc_id, {_TEXT.format('list_concat([1], ids, [2])')} AS ids FROM ids")
+def processor_encode(spark, sf_dir):
+    """Whole texts by a `tokenizer.json` model."""
+    return _processor(spark, sf_dir).encode(_docs(spark, sf_dir)).select("doc_id", joined("ids").alias("ids"))
+
+
+@query(f"WITH {_VOCAB}, {_IDS} SELECT doc_id, {_TEXT.format('list_concat([1], ids[1:30], [2])')} AS ids FROM ids")
+def processor_truncate(spark, sf_dir):
+    return _processor(spark, sf_dir, max_length=32).encode(_docs(spark, sf_dir)).select("doc_id", joined("ids").alias("ids"))
+
+
+@query(_padded("max(len(ids)) OVER (PARTITION BY batch)"))
+def processor_batch(spark, sf_dir):
+    """Ids and mask, padded to the longest of each batch after the cut."""
+    done = _processor(spark, sf_dir, max_length=64, padding="longest").encode_batch(_docs(spark, sf_dir), ["batch"])
+    return done.select("doc_id", joined("ids").alias("ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, v: s + v).cast("int").alias("ones"))
+
+
+@query(f"WITH {_VOCAB}, k AS (SELECT doc_id, unnest(w) AS piece, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_SPLIT} AS w FROM documents)) SELECT doc_id, coalesce(string_agg(CASE WHEN id IS NULL THEN '<other>' ELSE piece END, ' ' ORDER BY pos), '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN k USING (doc_id) LEFT JOIN vocab USING (piece) GROUP BY doc_id")
+def processor_decode(spark, sf_dir):
+    """Encoded and decoded again, without the frame."""
+    p = _processor(spark, sf_dir)
+    return p.decode(p.encode(_docs(spark, sf_dir)).select("doc_id", "ids")).select("doc_id", "text")
+
+
+@query(f"WITH {_VOCAB} SELECT id, piece FROM vocab UNION ALL SELECT * FROM (VALUES (0, '<pad>'), (1, '<begin>'), (2, '<end>'), (3, '<other>')) t(id, piece) UNION ALL SELECT 10000 + n, piece || '=' || id FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM vocab) WHERE n % 7 = 0 UNION ALL SELECT -1, '0'")
+def tokenizer_vocabulary(spark, sf_dir):
+    """A model's vocabulary as a table, some of its ids looked up by token, and its padding id."""
+    t = Tokenizer.from_bytes(wordlevel_model(spark, sf_dir))
+    whole = t.vocabulary(spark).select(F.col("id").cast("long").alias("id"), "piece")
+    asked = [p for p, i in sorted(t.model.get_vocab().items(), key=lambda x: x[1]) if i > 3 and (i - 3) % 7 == 0]
+    found = spark.createDataFrame([(10000 + 7 * (k + 1), f"{p}={t.token_to_id(p)}") for k, p in enumerate(asked)], "id long, piece string")
+    return whole.unionByName(found).unionByName(spark.createDataFrame([(-1, str(t.pad_id()))], "id long, piece string"))
+
+
+def model_file(m: SentencePiece) -> bytes:
+    """The protocol-buffer file of a model: pieces, trainer and normaliser."""
+    number = lambda n, v: _varint(n << 3) + _varint(v)
+    block = lambda n, b: _varint(n << 3 | 2) + _varint(len(b)) + b
+    kind = {v: k for k, v in KINDS.items()} | {"normal": 1}
+    pieces = b"".join(block(1, block(1, p.encode()) + _varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, kind[k])) for p, s, k in zip(m.pieces, m.scores, m.kinds))
+    trainer = number(3, {"unigram": 1, "bpe": 2}[m.model]) + number(35, m.byte_fallback) + number(40, m.unk) + number(41, m.bos) + number(42, m.eos)
+    return pieces + block(2, trainer) + block(3, number(3, m.dummy_prefix) + number(4, m.collapse) + number(5, m.escape))
+
+
+def _varint(v: int) -> bytes:
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    return bytes(out + bytes([v]))
+
+
+_LETTERS = "▁etaonirshdlucmfgpwyb"
+
+
+@query(
+    f"""WITH l AS (SELECT substr('{_LETTERS}', i::INT, 1) AS c, i FROM range(1, {len(_LETTERS) + 1}) r(i)),
+    o AS (SELECT c AS piece, 1 AS part, i AS a, 0 AS b FROM l UNION ALL SELECT x.c || y.c, 2, x.i, y.i FROM l x, l y WHERE y.i > 1 AND x.c <> y.c UNION ALL SELECT '▁' || x.c || y.c, 3, x.i, y.i FROM l x, l y WHERE x.i BETWEEN 2 AND 9 AND y.i BETWEEN 2 AND 9),
+    n AS (SELECT piece, row_number() OVER (ORDER BY part, a, b) - 1 AS k FROM o)
+    SELECT id::BIGINT AS id, piece, score::FLOAT AS score, kind FROM (SELECT id, piece, score::DOUBLE AS score, kind FROM (VALUES (0, '<unk>', 0.0, 'unknown'), (1, '<s>', 0.0, 'control'), (2, '</s>', 0.0, 'control')) s(id, piece, score, kind)
+    UNION ALL SELECT 3 + b, printf('<0x%02X>', b), 0, 'byte' FROM range(256) r(b)
+    UNION ALL SELECT 259 + k, piece, -2.0::DOUBLE - 0.01::DOUBLE * k - 2.5::DOUBLE * (len(piece) - 1), 'normal' FROM n) u"""
+)
+def sp_vocabulary(spark, sf_dir):
+    """Pieces, scores and kinds as read from a model file."""
+    return Tokenizer.from_bytes(model_file(model("unigram"))).vocabulary(spark)

@@ -157,6 +157,16 @@ def fill_poly(df: DataFrame, width: int, height: int, points: str = "points") ->
     return _rows(df, points, "y int, x int", [("y", pa.int32()), ("x", pa.int32())], one)
 
 
+def line_pixels(df: DataFrame, width: int, height: int, ends: str = "ends") -> DataFrame:
+    """(k, x, y): the pixels of each line between two integer points, in drawing order, cut to a width x height image."""
+
+    def one(v):
+        x, y = k.line_pixels(width, height, *((p["x"], p["y"]) for p in v))
+        return list(zip(range(len(x)), x.tolist(), y.tolist()))
+
+    return _rows(df, ends, "k int, x int, y int", [("k", pa.int32()), ("x", pa.int32()), ("y", pa.int32())], one)
+
+
 def reading_order(boxes: DataFrame, group: list[str], quad: str = "quad", idx: str = "idx") -> DataFrame:
     """(group, idx, rank): reading order per image. The tolerance between lines is not transitive, so no sort gives it; an image's boxes
     meet in one array."""

@@ -6,23 +6,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.sentencepiece import SentencePiece
 from ..plans.text import TextOptions
 from ..session import prepare
 from ..sources.tokenizers import Tokenizer
 
 
-def _mapped(df: DataFrame, source: str, out: str, ddl: str, kind: pa.DataType, tokenizer: Tokenizer, f) -> DataFrame:
+def _mapped(df: DataFrame, source: Column, out: str, ddl: str, kind: pa.DataType, shared, f) -> DataFrame:
+    """The rows with f(shared, value of source) in out, in place of a column of that name; null stays null."""
     prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
-    fields = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in df.schema)
+    model = df.sparkSession.sparkContext.broadcast(shared)
+    rest = [x for x in df.schema if x.name.lower() != out.lower()]
+    fields = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in rest)
 
     def run(batches):
-        t = shared.value
         for b in batches:
-            made = [None if v is None else f(t, v) for v in b.column(b.num_columns - 1).to_pylist()]
+            made = [None if v is None else f(model.value, v) for v in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, kind)], [*b.schema.names[:-1], out])
 
-    return df.withColumn("_source", F.col(source)).mapInArrow(run, fields + f"`{out}` {ddl}")
+    taken = {x.name.lower() for x in rest}
+    name = next(n for n in ("_" * i + "source" for i in range(len(taken) + 1)) if n not in taken)
+    return df.select(*[F.col(f"`{x.name}`") for x in rest], source.alias(name)).mapInArrow(run, fields + f"`{out}` {ddl}")
+
+
+def normalized(df: DataFrame, model: SentencePiece, text: str = "text", out: str = "normalized") -> DataFrame:
+    """Every row with its text as a SentencePiece model normalises it."""
+    return _mapped(df, F.col(text), out, "string", pa.string(), model, lambda m, v: m.normalize(v))
 
 
 def truncated(ids, limit: int, front: list[int], back: list[int]) -> Column:
@@ -66,16 +75,16 @@ class TextProcessor:
 
     def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         o = self.options
-        source = df.withColumn("_text", F.lower(text) if o.lowercase else F.col(text))
+        source = F.lower(text) if o.lowercase else F.col(text)
         special, limit = o.add_special_tokens, o.limit
-        return _mapped(source, "_text", out, "array<bigint>", pa.list_(pa.int64()), self.tokenizer, lambda t, v: t.encode_truncated(v, special, limit)).drop("_text")
+        return _mapped(df, source, out, "array<bigint>", pa.list_(pa.int64()), self.tokenizer, lambda t, v: t.encode_truncated(v, special, limit))
 
     def encode_batch(self, df: DataFrame, batch: list[str], text: str = "text") -> DataFrame:
         """ids and attention_mask; rows of equal batch columns are padded together."""
         return pad_batch(self.encode(df, text), self.options, self.tokenizer.pad_id() or 0, batch)
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "text", skip_special: bool = True) -> DataFrame:
-        return _mapped(df, ids, out, "string", pa.string(), self.tokenizer, lambda t, v: t.decode(v, skip_special))
+        return _mapped(df, F.col(ids), out, "string", pa.string(), self.tokenizer, lambda t, v: t.decode(v, skip_special))
 
 
 def words(df: DataFrame, key: list[str], text: str = "text", most: int | None = None) -> DataFrame:

@@ -58,8 +58,46 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
     return x, rate
 
 
+#: Bytes of a pixel's channels by PNG colour type, and the first position and step (x, y) of each pass of an interlaced file (fixed values).
+PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PNG_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _nearest(a: int, b: int, c: int) -> int:
+    """The Paeth predictor: of left, above and above left the one nearest to left + above - above left."""
+    p = a + b - c
+    return min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+
+
+def _unfiltered(raw: bytes, at: int, line: int, rows: int, step: int) -> np.ndarray:
+    """(rows, line) bytes of a PNG's filtered rows. Rows whose filter looks to the left are undone by sums or on plain integers."""
+    out = np.zeros((rows, line), np.uint8)
+    above = np.zeros(line, np.uint8)
+    for y in range(rows):
+        kind, at = raw[at], at + 1
+        row = np.frombuffer(raw, np.uint8, line, at).copy()
+        at += line
+        if kind == 1:
+            for i in range(step):
+                row[i::step] = np.cumsum(row[i::step], dtype=np.uint8)
+        elif kind == 2:
+            row += above
+        elif kind in (3, 4):
+            up, left = above.tolist(), [0] * step
+            done = left + row.tolist()
+            corner = left + up
+            for i in range(line):
+                guess = (done[i] + up[i]) // 2 if kind == 3 else _nearest(done[i], up[i], corner[i])
+                done[i + step] = (done[i + step] + guess) & 255
+            row = np.array(done[step:], np.uint8)
+        elif kind:
+            raise MediaError(f"PNG filter {kind}")
+        out[y] = above = row
+    return out
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """A PNG of 1 to 16 bits, gray, RGB or palette, with or without alpha, not interlaced; 16 bits keep the high byte."""
+    """A PNG of 1 to 16 bits, gray, RGB or palette, with or without alpha, interlaced or not; 16 bits keep the high byte."""
     at, chunks = 8, {}
     idat = b""
     while at + 8 <= len(data):
@@ -73,46 +111,32 @@ def decode_png(data: bytes) -> np.ndarray:
     if b"IHDR" not in chunks:
         raise MediaError("no PNG header")
     w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", chunks[b"IHDR"])
-    if interlace:
-        raise MediaError("interlaced PNG")
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    n = PNG_CHANNELS.get(color)
     if n is None:
         raise MediaError(f"PNG colour type {color}")
     try:
         raw = zlib.decompress(idat)
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    line, step = (w * n * depth + 7) // 8, max(1, n * depth // 8)
-    out = np.zeros((h, line), np.uint8)
-    above = np.zeros(line, np.int64)
-    for y in range(h):
-        kind = raw[y * (line + 1)]
-        now = np.frombuffer(raw, np.uint8, line, y * (line + 1) + 1).astype(np.int64)
-        if kind == 1:
-            for i in range(step):
-                now[i::step] = np.cumsum(now[i::step])
-        elif kind == 2:
-            now = now + above
-        elif kind in (3, 4):
-            for i in range(line):
-                a, b = (now[i - step] & 255 if i >= step else 0), above[i]
-                if kind == 3:
-                    now[i] += (a + b) // 2
-                else:
-                    c = above[i - step] if i >= step else 0
-                    p = a + b - c
-                    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-                    now[i] += a if da <= db and da <= dc else b if db <= dc else c
-        above = now & 255
-        out[y] = above
-    if depth == 16:
-        out = out.reshape(h, w * n, 2)[..., 0]
-    elif depth < 8:
-        bits = np.unpackbits(out, axis=1)[:, : w * n * depth].reshape(h, w * n, depth)
-        out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
-        if color != 3:
-            out = (out.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    x = out.reshape(h, w, n)
+    x = np.zeros((h, w, n), np.uint8)
+    start = 0
+    for x0, y0, dx, dy in PNG_PASSES if interlace else ((0, 0, 1, 1),):
+        cols, rows = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if cols <= 0 or rows <= 0:
+            continue
+        line = (cols * n * depth + 7) // 8
+        if len(raw) < start + rows * (line + 1):
+            raise MediaError("the image data is cut short")
+        out = _unfiltered(raw, start, line, rows, max(1, n * depth // 8))
+        start += rows * (line + 1)
+        if depth == 16:
+            out = out.reshape(rows, cols * n, 2)[..., 0]
+        elif depth < 8:
+            bits = np.unpackbits(out, axis=1)[:, : cols * n * depth].reshape(rows, cols * n, depth)
+            out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
+            if color != 3:
+                out = (out.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+        x[y0::dy, x0::dx] = out.reshape(rows, cols, n)
     if color == 3:
         return np.frombuffer(chunks[b"PLTE"], np.uint8).reshape(-1, 3)[x[..., 0]]
     return x
@@ -168,38 +192,53 @@ def _decoded(files: DataFrame, f, kind, ddl: str, tolerant: bool) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, f"path string, value {ddl}, error string")
 
 
-def read_wav(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """(path, sample_rate, samples, error) of WAV files; tolerant: a bad file gives nulls and its error."""
+def decode_wavs(files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """(path, sample_rate, samples, error) of WAV files (path, content); tolerant: a bad file gives nulls and its error."""
     kind = pa.struct([("sample_rate", pa.int32()), ("samples", pa.list_(pa.float32()))])
 
     def one(data):
         x, rate = decode_wav(data)
         return {"sample_rate": rate, "samples": x}
 
-    rows = _decoded(spark.read.format("binaryFile").load(path), one, kind, "struct<sample_rate:int,samples:array<float>>", tolerant)
+    rows = _decoded(files, one, kind, "struct<sample_rate:int,samples:array<float>>", tolerant)
     return rows.select("path", "value.sample_rate", "value.samples", "error")
 
 
+def read_wav(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """As `decode_wavs`, of files in any Hadoop store."""
+    return decode_wavs(spark.read.format("binaryFile").load(path), tolerant)
+
+
+def decode_images(files: DataFrame, tolerant: bool = False) -> DataFrame:
+    """(path, image, error) of PNG and PNM files (path, content)."""
+    return _decoded(files, lambda d: pack(decode_image(d)), _PIXELS, IMAGE_DDL, tolerant).withColumnRenamed("value", "image")
+
+
 def read_images(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """(path, image, error) of PNG and PNM files."""
-    return _decoded(spark.read.format("binaryFile").load(path), lambda d: pack(decode_image(d)), _PIXELS, IMAGE_DDL, tolerant).withColumnRenamed("value", "image")
+    """As `decode_images`, of files in any Hadoop store."""
+    return decode_images(spark.read.format("binaryFile").load(path), tolerant)
 
 
 def read_images_jvm(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image) of whatever the JVM decodes (JPEG, PNG, GIF, BMP), as interleaved RGB without alpha."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path)
+    """(path, image, error) of whatever the JVM decodes (JPEG, PNG, GIF, BMP), as interleaved RGB without alpha. A file that it cannot
+    decode has a null image and an error."""
+    rows = spark.read.format("image").option("dropInvalid", False).load(path)
     prepare(spark)
 
     def run(batches):
         for b in batches:
             out = []
             for v in b.column(1).to_pylist():
+                if v["height"] <= 0 or v["nChannels"] <= 0:
+                    out.append(None)
+                    continue
                 x = np.frombuffer(v["data"], np.uint8).reshape(v["height"], v["width"], v["nChannels"])
                 x = np.repeat(x, 3, 2) if x.shape[2] == 1 else x[..., 2::-1]
                 out.append(pack(np.ascontiguousarray(x)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _PIXELS)], ["path", "image"])
 
-    return rows.select(F.col("image.origin").alias("path"), "image").mapInArrow(run, f"path string, image {IMAGE_DDL}")
+    done = rows.select(F.col("image.origin").alias("path"), "image").mapInArrow(run, f"path string, image {IMAGE_DDL}")
+    return done.withColumn("error", F.when(F.col("image").isNull(), F.lit("cannot be decoded")))
 
 
 def read_npy(data: bytes) -> np.ndarray:
@@ -218,10 +257,27 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
 
 
-def encode_png(x: np.ndarray) -> bytes:
-    """An 8-bit gray or RGB file."""
+def encode_png(x: np.ndarray, filters: tuple[int, ...] = (0,), interlaced: bool = False) -> bytes:
+    """An 8-bit gray, RGB or RGBA file; rows take the filters in turn."""
     h, w = x.shape[:2]
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), x.reshape(h, -1)], 1).tobytes()
-    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    color = {1: 0, 3: 2, 4: 6}[x.shape[2] if x.ndim == 3 else 1]
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    n = x.shape[2] if x.ndim == 3 else 1
+    x = x.reshape(h, w, n)
+    body = bytearray()
+    for x0, y0, dx, dy in PNG_PASSES if interlaced else ((0, 0, 1, 1),):
+        part = x[y0::dy, x0::dx].reshape(len(x[y0::dy]), -1).astype(np.int64)
+        if not part.size:
+            continue
+        up, left = np.zeros_like(part), np.zeros_like(part)
+        up[1:], left[:, n:] = part[:-1], part[:, :-n]
+        corner = np.zeros_like(part)
+        corner[1:, n:] = part[:-1, :-n]
+        p = left + up - corner
+        far = np.stack([abs(p - left), abs(p - up), abs(p - corner)])
+        paeth = np.choose(far.argmin(0), [left, up, corner])
+        guess = [np.zeros_like(part), left, up, (left + up) // 2, paeth]
+        for y in range(len(part)):
+            kind = filters[y % len(filters)]
+            body += bytes([kind]) + (part[y] - guess[kind][y]).astype(np.uint8).tobytes()
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    color = {1: 0, 3: 2, 4: 6}[n]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, interlaced)) + chunk(b"IDAT", zlib.compress(bytes(body))) + chunk(b"IEND", b"")
