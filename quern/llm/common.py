@@ -39,11 +39,22 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it back: later steps neither recompute it nor
-    depend on the executors that made it."""
+    depend on the executors that made it. `discard` removes it."""
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove shared tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and hasattr(t, "shared_path"):
+            jvm, context = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc
+            path = jvm.org.apache.hadoop.fs.Path(t.shared_path)
+            path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -58,13 +69,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Equal rows that one task numbers at a time.
+NUMBERED = 4096
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Every row, with its number from 0 on among the rows that equal it.
+
+    Equal rows are counted (combined before the shuffle) and made again from the count, many of them in blocks that are dealt anew, so
+    that a row that stands for any share of the table is never gathered in one task.
+    """
+    n, block = fresh(rows, "_n", "_block")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    counted = rows.groupBy(*columns).agg(F.count("*").alias(n))
+    single = counted.filter(F.col(n) == 1).select(*columns, F.lit(0).cast("long").alias(name))
+    blocks = counted.filter(F.col(n) > 1).select(*columns, n, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {NUMBERED}"))).alias(block))
+    several = blocks.repartition(*columns, F.col(block)).select(
+        *columns, F.explode(F.sequence(F.col(block) * NUMBERED, F.least(F.col(n), (F.col(block) + 1) * NUMBERED) - 1)).alias(name)
+    )
+    return single.unionByName(several)
+
+
 def words_column(text) -> "F.Column":
     """The words of a string column, as an array; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != F.lit(""))
 
 
 def word_count(text) -> "F.Column":
-    """Number of words without building the words: the separators are counted in the trimmed text."""
+    """Number of words of a string column; null has none."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WORD_SPLIT))).cast("long")
 

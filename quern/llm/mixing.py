@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing; DataFrame operations only.
 
-Every source is a queue of its documents in a fixed shuffled order (by a digest of the id), repeated up to MAX_COPIES
-times. A copy's virtual finish time is its source's words up to and including it, divided by the source's target. All copies are
+Every source is a queue of its documents in a fixed shuffled order (by a digest of id, size and the number among rows that agree in
+both), repeated up to MAX_COPIES times. A copy's virtual finish time is its source's words up to and including it, divided by the source's target. All copies are
 sorted by it and the mix is cut where the words reach the total budget, so every queue is served in proportion to its target.
 
 Nothing is sorted in one task: the words before a document are the sum over the BUCKETS digest ranges before its own plus a
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_table, word_count
+from .common import NUMBERED, fresh, numbered, shared_table, word_count
 
 MAX_COPIES = 3
 #: Ranges of the digest (three hexadecimal digits).
@@ -61,13 +61,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per row: doc_id, size, source_size, target (its source's), taken (size times the copies taken), source, copies.
 
     Null texts and texts without words have size 0 and take 0 words; a source without words has target 0 and gives no
-    copies. A null source is a source. Ties and repeated rows: the order is by digest, id and size, and rows
-    that agree in all of them are interchangeable. Reruns agree. An empty table gives an empty result.
+    copies. A null source is a source. Texts of any length count whole. Rows that agree in id, source and size are numbered and queue
+    one by one, so repeated rows and null ids have places of their own; which of them has which is open, as the result
+    does not tell them apart. Ties of the finish time go by source, digest and number. Reruns agree. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn(
-        "key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    )
+    return _mixed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """`mix` of rows (doc_id, source, size)."""
+    spark = rows.sparkSession
+    rows = numbered(rows, "nth").withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("nth").cast("string"))))
     rows = shared_table(spark, rows.withColumn("bucket", F.substring("key", 1, 3)), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -77,11 +81,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(goal.alias("g"), F.expr("o.source <=> g.source"))
         .select("o.source", "o.bucket", "offset", "source_rank", "source_size", "budget", "target")
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         rows.withColumn("upto", F.sum("size").over(inside)).alias("r")
         .join(offsets.alias("f"), F.expr("r.source <=> f.source and r.bucket = f.bucket"))
-        .select("r.doc_id", "r.source", "r.size", "r.key", "source_rank", "source_size", "budget", "target", (F.col("upto") + F.col("offset")).alias("upto"))
+        .select("r.doc_id", "r.source", "r.size", "r.nth", "r.key", "source_rank", "source_size", "budget", "target", (F.col("upto") + F.col("offset")).alias("upto"))
     )
     queued = shared_table(spark, queued, "mix-queued")
     copies = queued.select("*", F.explode(F.array(*[F.lit(i) for i in range(MAX_COPIES)])).alias("copy")).withColumn(
@@ -100,24 +104,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         taken = taken + F.when((F.col("target") > 0) & whole, 1).otherwise(0)
     whole = queued.withColumn("copies", taken)
     if fine is not None:
-        order = Window.orderBy("finish", "source_rank", "key", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
+        order = Window.orderBy("finish", "source_rank", "key", "doc_id", "size", "nth", "copy").rowsBetween(Window.unboundedPreceding, 0)
         edge = copies.filter(F.floor(F.least(F.col("finish"), F.lit(4.0)) * FINE) == fine).withColumn("served", F.sum("size").over(order) + start)
-        extra = edge.filter(F.col("served") <= budget).groupBy("doc_id", "source", "size", "upto").agg(F.count("*").alias("extra"))
-        whole = whole.alias("q").join(extra.alias("e"), F.expr("q.doc_id <=> e.doc_id and q.source <=> e.source and q.size = e.size and q.upto = e.upto"), "left").select("q.*", F.coalesce("extra", F.lit(0)).alias("extra")).withColumn("copies", F.col("copies") + F.col("extra"))
+        extra = edge.filter(F.col("served") <= budget).groupBy("doc_id", "source", "size", "nth").agg(F.count("*").alias("extra"))
+        whole = whole.alias("q").join(extra.alias("e"), F.expr("q.doc_id <=> e.doc_id and q.source <=> e.source and q.size = e.size and q.nth = e.nth"), "left").select("q.*", F.coalesce("extra", F.lit(0)).alias("extra")).withColumn("copies", F.col("copies") + F.col("extra"))
     return whole.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents in the mix, with the input's columns, each as many times as it is taken."""
-    size, times, place, copy = fresh(docs, "_size", "_copies", "_place", "_copy")
-    counted = docs.withColumn(size, word_count(F.col("text")))
-    mixed = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
-    joined = counted.alias("d").join(mixed.alias("m"), F.expr(f"d.doc_id <=> m.doc_id and d.source <=> m.source and d.`{size}` = m.size")).filter("m.c > 0")
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = joined.filter("m.n = 1").select(*columns, F.col("m.c").alias(times))
-    order = Window.partitionBy("m.doc_id", "m.source", "m.size").orderBy(F.xxhash64("d.text"))
-    repeated = joined.filter("m.n > 1").withColumn(place, F.row_number().over(order)).select(
-        *columns, (F.expr("m.c div m.n") + F.when(F.col(place) <= F.col("m.c") % F.col("m.n"), 1).otherwise(0)).alias(times)
-    )
-    taken = single.unionByName(repeated).filter(F.col(times) > 0)
-    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(copy, times)
+    """The documents in the mix, with the input's columns, each as many times as it is taken.
+
+    Null texts and texts without words have size 0 and are in the mix as often as their place in the queue says. Rows that agree in id,
+    source and size share what the mix takes of them evenly, in the order of a hash of the whole row. See `mix` for the
+    rest. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    tag, twin, times, block, copy = fresh(docs, "_tag", "_twin", "_copies", "_block", "_copy")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Two hashes of the whole row stand for it, so that sizes are counted once and everything but the last join goes without texts.
+    tags = (F.xxhash64(*names), F.xxhash64(F.lit(1), *names))
+    slim = shared_table(spark, docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tags[0].alias("tag"), tags[1].alias("twin")), "mix-slim")
+    mixed = _mixed(slim.select("doc_id", "source", "size")).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).filter("c > 0")
+    same = slim.groupBy("doc_id", "source", "size", "tag", "twin").agg(F.count("*").alias("rows"))
+    found = same.alias("s").join(mixed.alias("m"), F.expr("s.doc_id <=> m.doc_id and s.source <=> m.source and s.size = m.size")).select("s.*", "c", "n")
+    earlier = Window.partitionBy("doc_id", "source", "size").orderBy("tag", "twin").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.expr("c % n") - F.coalesce(F.sum("rows").over(earlier), F.lit(0))
+    share = F.expr("rows * (c div n)") + F.greatest(F.lit(0), F.least("rows", left))
+    whole = found.filter("rows = n").select("tag", "twin", "rows", F.col("c").alias("times"))
+    parts = found.filter("rows < n").select("tag", "twin", "rows", share.alias("times"))
+    shares = shared_table(spark, whole.unionByName(parts).filter("times > 0"), "mix-shares")
+    marked = docs.withColumn(tag, tags[0]).withColumn(twin, tags[1])
+
+    def taken(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("tag").alias(tag), F.col("twin").alias(twin), F.col("times").alias(times))
+        return marked.join(some, [tag, twin])
+
+    single = taken(shares.filter("rows = 1")).select(*names, times)
+    # Rows that are the same throughout are one row with a number of copies, made in blocks that are dealt anew, as it can stand for any
+    # share of the table.
+    one = taken(shares.filter("rows > 1")).dropDuplicates([tag, twin])
+    blocks = one.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {NUMBERED}")))).repartition(tag, block)
+    blocks = blocks.select(*names, F.least(F.lit(NUMBERED), F.col(times) - F.col(block) * NUMBERED).alias(times))
+    every = single.unionByName(blocks)
+    return every.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).select(*names)

@@ -61,7 +61,8 @@ _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0
 
 _OP2 = rf"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || nth) AS key FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS nth FROM (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM documents))
 ), named AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM r GROUP BY source
 ), weighed AS (
@@ -79,17 +80,17 @@ WITH RECURSIVE r AS (
   SELECT source, source_rank, source_size, budget, CASE WHEN full_ THEN (3 * source_size)::DOUBLE ELSE (w * free)::DOUBLE / free_w::DOUBLE END AS target FROM shared
 ), queued AS (
   SELECT r.*, g.source_rank, g.source_size, g.budget, g.target,
-    sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source
 ), copies AS (
   SELECT q.*, c.copy, CASE WHEN target > 0 THEN (copy * source_size + upto)::DOUBLE / target END AS finish FROM queued q, (VALUES (0), (1), (2)) c(copy)
 ), served AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source_rank, key, doc_id, size, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served FROM copies WHERE finish IS NOT NULL
+  SELECT *, sum(size) OVER (ORDER BY finish, source_rank, key, doc_id, size, nth, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served FROM copies WHERE finish IS NOT NULL
 ), whole AS (
-  SELECT doc_id, source, size, upto, count(*) AS n FROM served WHERE served <= budget GROUP BY ALL
+  SELECT doc_id, source, size, nth, count(*) AS n FROM served WHERE served <= budget GROUP BY ALL
 )
 SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, (q.size * coalesce(n, 0))::BIGINT AS taken
-FROM queued q LEFT JOIN whole h ON q.doc_id IS NOT DISTINCT FROM h.doc_id AND q.source IS NOT DISTINCT FROM h.source AND q.size = h.size AND q.upto = h.upto
+FROM queued q LEFT JOIN whole h ON q.doc_id IS NOT DISTINCT FROM h.doc_id AND q.source IS NOT DISTINCT FROM h.source AND q.size = h.size AND q.nth = h.nth
 """
 
 _OP1 = r"""

@@ -12,20 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import numbered, shared_table
 
 SLOTS = 4096
 SHARDS = 16
 
 
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) per row. The slot comes from the id and the text's checksum, so that copies
-    of a text and repeated ids spread."""
+    """(doc_id, size, text_crc32, copy, virtual_slot) per row.
+
+    The slot comes from the id, the text's checksum and the row's number among the rows that agree in these, so that copies
+    of a text, repeated ids, null ids and repeated rows all spread.
+    """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    hashed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    ).withColumn("virtual_slot", F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    hashed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("copy").cast("string")))
+    return numbered(rows, "copy").withColumn("virtual_slot", F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int"))
 
 
 def initial_map(spark: SparkSession, shards: int = SHARDS) -> DataFrame:
@@ -64,11 +66,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """Per row: doc_id, size, text_crc32, law, shard, slot (position in its shard), grown_shard (null), virtual_slot, map_version.
 
     The map's versions 0 and 1 are stored in the shared folder. Positions are made of the slots' row counts and a
-    window within one virtual slot, so no window holds a whole shard. Null texts have size 1 and checksum 0; null ids and
-    repeated rows are placed like any other. An empty table gives an empty result.
+    window within one virtual slot, so no window holds a whole shard. Null and empty texts have size 1 and checksum 0; null ids and
+    repeated rows are placed like any other, each row on its own. A text of any length counts whole and stays in one shard, so sizes
+    are as near as the largest texts allow. Columns besides the two change nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = slotted(docs, id_col, text_col)
+    rows = shared_table(spark, slotted(docs, id_col, text_col), "slot-rows")
     loads = shared_table(spark, rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).coalesce(1), "slot-loads")
     first = initial_map(spark, shards)
     maps = shared_table(spark, first.unionByName(rebalance(first, loads, shards)).coalesce(1), "slot-map")
@@ -77,7 +80,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     placed = last.join(F.broadcast(loads), "virtual_slot").select(
         "virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")
     )
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     return rows.withColumn("n", F.row_number().over(within)).join(F.broadcast(placed), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
