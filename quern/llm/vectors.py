@@ -12,8 +12,9 @@ from .common import prepare
 
 #: Rows of an index block: what one task holds in memory at a time.
 BLOCK_ROWS = 16384
-#: Queries that meet a block in one task.
-QUERY_ROWS = 4096
+#: Queries that meet a block in one task. As many as a block has rows, which sends the least: each row goes once per chunk of queries, each
+#: query once per block.
+QUERY_ROWS = 16384
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, allow_zero: bool) -> DataFrame:
