@@ -20,6 +20,8 @@ GROUP = 32
 
 def _exact(k: int):
     def search(qids, q, ids, a):
+        if max(np.abs(q).max(initial=0), np.abs(a).max(initial=0)) * np.sqrt(max(1, a.shape[1])) >= 1 << 31:
+            raise ValueError("components are too large for sums in 64 bits")
         q, a = q.astype(np.int64), a.astype(np.int64)
         postings = []
         for t in range(a.shape[1]):
@@ -53,7 +55,8 @@ def exact_topk(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     Components become floor(scale * x). Ties go to the smaller id. Vectors that are null or hold null or
     non-finite components, and null ids, take no part; zero vectors do. Of repeated ids, the smallest vector asks, rows that share
     the query's id are not its candidates, and other repeated rows are ranked each. Vectors of different lengths meet as if
-    filled with zeros. An empty table gives an empty result.
+    filled with zeros. Products are summed in 64 bits: components beyond 2 ** 31 / sqrt(length) in size would wrap, so they raise. Other
+    columns change nothing. An empty table gives an empty result.
     """
     valid = usable(rows, id_col, vec_col, allow_zero=True).select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")).alias("v"))
     asked = valid.filter(query_filter if query_filter is not None else F.col("id") % 100 == 0)
