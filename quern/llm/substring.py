@@ -410,7 +410,8 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, text_col: str
     """The rows with all spans cut that also stand in the references, a table of at most BROADCAST_BYTES of text.
 
     The references become one automaton per shard of SHARD_WORDS words, broadcast; documents stream through all of them. A larger
-    reference raises ValueError: use `dedup` on the union, with the references' ids first.
+    reference raises ValueError: use `dedup` on the union, with the references' ids first. Null texts, on either side, hold no spans; ties
+    and repeated rows are cut alike, texts of any length whole, and other columns pass through. Empty tables give the documents as they are.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -309,6 +309,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, with the input's columns."""
+    """The documents that score below 0.5, with the input's columns. Null and empty texts score as texts without hits; null ids, repeated
+    rows and extra columns change nothing. Without labels, and on an empty table, nothing goes."""
     scored, name = _scored(docs, learn(docs, labels), "text")
     return scored.filter(F.col(name) < 0.5).drop(name)
