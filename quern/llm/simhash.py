@@ -13,18 +13,21 @@ fingerprints are linked in a star.
 
 Copies collapse first: everything after the fingerprints works on distinct fingerprints.
 
-Near copies of a lower similarity differ in more bits than the exact grid can span. `similar_components` joins the sets of five-word
-shingles instead. In one order of all shingles, two sets of a similarity of t or more share one of the first n - ceil(t n) + 1 of
-each: these are the cells, and no pair is missed. Shingles that are frequent in a bounded sample come last in the order; the sample
-decides the cells only, never the result. A cell's members are compared with a few centres at a time, most in the first round;
-links contract, centres leave, and rounds go on until no cell holds members of two components. A pair is excluded early by its sizes and by
-256 SimHash bits with a wide margin, and accepted by the exact similarity of the sets.
+Near copies of a lower similarity differ in more of these bits than any grid of counts can span without missing pairs: at a Jaccard
+similarity of 0.8 about 39 of 256 bits differ. `similar_components` takes as fingerprint the set of five-word shingles itself: one bit for each
+64-bit hash. Its segments are HISTOGRAM ranges of hashes, and their popcounts embed it: the Manhattan distance of two vectors is a lower bound
+of the number of shingles that only one text has, which is the Hamming distance, and the similarity bounds that number. The cells of the
+join are not ranges of counts but prefixes: in one order of all shingles, two sets of a similarity of t or more share one of the first
+n - ceil(t n) + 1 of each, so no pair is missed, at any table size. Shingles that are frequent in a bounded sample come last in the
+order; the sample decides the cells only, never the result. Cells with the same members are one. A large cell's members are compared
+with a few centres, links contract, the centres leave, and rounds go on until no cell holds members of two components. Pairs within the
+bound, and within 256 SimHash bits with a wide margin, are accepted by the exact similarity of the sets.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import chain, combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_offsets, fresh, gram_hashes, hash_words, mix64, prepare, shared_table
+from .common import byte_offsets, discard, fresh, gram_hashes, hash_words, mix64, prepare, shared_table
 
 SHINGLE = 3
 GROUPS = 4
@@ -41,8 +44,12 @@ CELL_LIMIT = 4032
 _CHUNK = 1 << 16
 #: Documents sampled for the order of shingles, times a shingle occurs there to count as frequent, and frequent shingles held at most.
 ORDER_ROWS, ORDER_LEAST, ORDER_LIMIT = 4096, 3, 1 << 16
-#: Centres of a cell in the first round, and how many times as many in each further one.
-CENTRES, CENTRES_GROW = 4, 4
+#: Rounds before the whole ones: cells that a set takes part in, centres of a cell besides one, and members up to which all are centres.
+FIRST_ROUNDS = ((1, 0, 4), (2, 16, 64))
+#: Centres of a cell in the first whole round, how many times as many in each further one, and members up to which all are.
+CENTRES, CENTRES_GROW, SMALL_CELL = 256, 64, 1024
+#: Segments of the set's fingerprint, and the popcount of one that still counts (more count as that many, which keeps the bound).
+HISTOGRAM, HIGHEST = 128, 8
 #: Bits of 256 allowed beyond those expected before the sets are compared: over seven standard deviations of large sets, over five of
 #: sets of a few shingles, whose ties move more bits.
 MARGIN_BITS = 46
@@ -108,16 +115,17 @@ def _set_key(grams: np.ndarray) -> int:
     return _long(xxhash.xxh3_64_intdigest(grams.tobytes())) if len(grams) else 0
 
 
-def _prefix(grams: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 of a set's hashes in the order: frequent ones last by rank, others by value."""
+def _prefix(grams: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(similarity n) + 1 of a set's hashes in the order, those not frequent (by value) and those frequent (by rank,
+    after the others)."""
     n = len(grams)
     want = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
     if not len(frequent):
-        return grams[:want]
+        return grams[:want], grams[:0]
     at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
     known = frequent[at] == grams
     first = grams[~known][:want]
-    return first if len(first) == want else np.concatenate([first, grams[known][np.argsort(rank[at[known]], kind="stable")][: want - len(first)]])
+    return first, grams[known][np.argsort(rank[at[known]], kind="stable")][: want - len(first)]
 
 
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +144,37 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (len(values) - np.arange(len(values)))[order]
 
 
+_WIDE = [f"w{i}" for i in range(4)]
+_COUNTS = [f"h{i}" for i in range(HISTOGRAM * HIGHEST // 64)]
+#: What a member brings to be compared.
+_OWN = ["n", *_WIDE, *_COUNTS]
+_UNARY = np.array([(1 << k) - 1 for k in range(HIGHEST + 1)], np.uint8)
+
+
+def set_counts(grams: np.ndarray) -> np.ndarray:
+    """Popcounts of the segments of a set's fingerprint in unary, a byte each, as signed words: the number of differing bits of two such
+    vectors is the Manhattan distance of the counts."""
+    counts = np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=HISTOGRAM)
+    return _UNARY[np.minimum(counts, HIGHEST)].view("<i8")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of unsigned hashes as a list<long> column."""
+    off = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """Per row: id, fp (a hash of its set of five-word shingles) and component_id, the smallest id reachable over links of texts whose
-    sets have a Jaccard similarity as asked or more. Nulls, repetitions and empty tables as in `simhash_components`.
+    sets have a Jaccard similarity as asked or more.
 
-    Every such pair is found and compared or already connected, up to collisions of 64-bit hashes and pairs beyond MARGIN_BITS.
+    Every such pair is found and compared or already connected, up to collisions of 64-bit hashes and pairs beyond MARGIN_BITS. Texts
+    of fewer than five words are one shingle; null texts and texts without words have the empty set and are one component. Rows
+    with a null id are returned, join components and never name one. Copies and repeated rows are all returned and compared once.
+    Texts of any length count whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
-    names = [f"w{i}" for i in range(4)]
     frequent, rank = _frequent(docs, text_col)
 
     def run(batches):
@@ -152,75 +182,105 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             bits = [_majority(s, 4) for s in sets]
             prefixes = [_prefix(s, similarity, frequent, rank) for s in sets]
-            off = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)))
             keys, sizes = pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             words = [pa.array([r[i] for r in bits], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys, sizes, *words, cells], ["id", "text_hash", "fp", "n", *names, "cells"])
-
-    longs = [T.StructField(n, T.LongType()) for n in ("text_hash", "fp", "n", *names)]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, T.StructField("cells", T.ArrayType(T.LongType()))])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+            counts = [pa.array(c) for c in np.array([set_counts(s) for s in sets], np.int64).reshape(len(sets), len(_COUNTS)).T.copy()]
+            cells = [_lists([p[i] for p in prefixes]) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys, sizes, *words, *counts, *cells], ["id", "place", "fp", "n", *_WIDE, *_COUNTS, "cells", "common"])
+
+    longs = [T.StructField(n, T.LongType()) for n in ("place", "fp", "n", *_WIDE, *_COUNTS)]
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("cells", "common")]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, *lists])
+    # A row's place is a hash of its id and text: of each set one place tells where its text is read again.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
     fps = shared_table(spark, texts.mapInArrow(run, schema), "set-fps")
-    distinct = fps.groupBy("fp").agg(*[F.min(n).alias(n) for n in ("text_hash", "n", *names)], F.min(_present("id", fps)).alias("rep"))
-    distinct = shared_table(spark, distinct, "set-distinct")
-    of_cell = Window.partitionBy("cell")
-    entries = fps.select("fp", "n", F.explode("cells").alias("cell"))
-    shared = entries.withColumn("low", F.min("fp").over(of_cell)).withColumn("high", F.max("fp").over(of_cell)).filter("low < high")
-    cells = shared_table(spark, shared.select("cell", "fp", "n").dropDuplicates(["cell", "fp"]), "set-cells")
-    linked = _linked_sets(spark, cells, distinct, texts.select("text", "text_hash"), similarity)
+    per_set = fps.groupBy("fp").agg(
+        F.min(_present("id", fps)).alias("rep"), F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *_WIDE, *_COUNTS, "cells", "common")]
+    )
+    distinct = shared_table(spark, per_set, "set-distinct")
+    linked = _linked_sets(spark, _set_cells(distinct), distinct, texts.select("text", "place"), similarity)
     return _named(fps.select("id", "fp"), distinct.select("fp", "rep"), linked, id_col)
 
 
+def _set_cells(distinct: DataFrame) -> DataFrame:
+    """(cell, fp, pick) of cells with two members or more; pick numbers a set's cells in the order of a hash.
+
+    A cell that is not frequent is named by the XOR of its members' hashes, so that cells with the same members, which near copies have by
+    the dozen, become one. It is small, which the sample shows, and a window sees it whole. Frequent cells, which can hold
+    any share of the rows, are taken as they are.
+    """
+    of_cell = Window.partitionBy("cell")
+    rare = distinct.select("fp", F.explode("cells").alias("cell"))
+    rare = rare.select("fp", F.min("fp").over(of_cell).alias("low"), F.max("fp").over(of_cell).alias("high"), F.bit_xor(F.xxhash64("fp")).over(of_cell).alias("cell"))
+    rare = rare.filter("low < high").select("cell", "fp").distinct()
+    members = rare.union(distinct.select(F.explode("common").alias("cell"), "fp"))
+    return members.withColumn("pick", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("cell"), "cell")))
+
+
 def _linked_sets(spark: SparkSession, cells: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the components of sets. A round compares the centres of each cell with all its members of other components; then
-    the centres leave it. Centres come from the smallest components of the cell, so a large group of near copies is
-    linked by its first centres and compared further only with the members that are strangers to it."""
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    centres = CENTRES
-    while not cells.isEmpty():
-        of_cell = Window.partitionBy("cell")
-        members = cells.join(roots, cells.fp == roots.node, "left").select("cell", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        members = members.withColumn("low", F.min("root").over(of_cell)).withColumn("high", F.max("root").over(of_cell)).filter("low < high")
-        members = members.withColumn("alike", F.count("*").over(Window.partitionBy("cell", "root")))
-        members = members.withColumn("place", F.row_number().over(of_cell.orderBy("alike", "root", "fp"))).select("cell", "fp", "n", "root", "place")
-        members = shared_table(spark, members, "set-members")
-        x, y = members.filter(F.col("place") <= centres).alias("x"), members.alias("y")
+    """(node, root) of the components of sets.
+
+    A round compares the centres of each cell with all its members of other components. In small cells all are centres, larger ones have
+    a few, chosen by a hash. In the first rounds a set takes part in one or two of its cells: near copies share most of
+    theirs, so large groups contract before their members meet in all of them. In whole rounds centres then leave their cells, and the rounds
+    go on until no cell holds two components. What a cell needs (its size, whether it holds two components) comes from
+    aggregates that are combined before the shuffle, and members meet centres in a join that can be split, so no task sees a whole
+    cell. The conditions stand in the join, which gives few pairs but links.
+    """
+    cells = first = shared_table(spark, cells, "set-cells")
+    live = roots = None
+    own = distinct.select(F.col("fp").alias("_fp"), *_OWN)
+    rounds = chain(FIRST_ROUNDS, ((None, CENTRES * CENTRES_GROW**i, SMALL_CELL) for i in count()))
+    for turn, (picks, wanted, small) in enumerate(rounds):
+        part = cells if picks is None else cells.filter(F.col("pick") <= picks)
+        named = part.withColumn("root", F.col("fp")) if roots is None else part.join(roots, part.fp == roots.node, "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+        draw = F.xxhash64("fp", F.lit(turn))
+        facts = named.groupBy("cell").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.min(F.struct(draw.alias("draw"), "fp")).alias("first")
+        ).filter("low < high")
+        chosen = (F.col("members") <= small) | (F.col("fp") == F.col("first.fp")) | (F.pmod(draw, F.col("members")) < wanted)
+        open_ = named.join(facts, "cell").select("cell", "fp", "root", chosen.alias("centre"))
+        last, live = live, shared_table(spark, open_.join(own, F.col("fp") == F.col("_fp")).drop("_fp"), "set-members")
+        discard(last)
+        if live.isEmpty():
+            if picks is None:
+                break
+            continue
+        x, y = live.filter("centre").alias("x"), live.alias("y")
+        differing = lambda names: sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
         asked = x.join(y, F.col("x.cell") == F.col("y.cell")).filter(
-            (F.col("x.place") < F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+            (F.col("x.root") != F.col("y.root")) & (~F.col("y.centre") | (F.col("x.fp") < F.col("y.fp")))
+            & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+            & (differing(_COUNTS) <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-9)
+            & (differing(_WIDE) <= similar_bits(similarity) + MARGIN_BITS)
         )
-        pairs = asked.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-        found = shared_table(spark, _similar_pairs(spark, pairs, distinct, texts, similarity), "set-links")
-        links = links.union(found)
-        cells = members.filter(F.col("place") > centres).select("cell", "fp", "n")
-        roots = components(spark, links)
-        centres *= CENTRES_GROW
-    return roots
-
-
-def _similar_pairs(spark: SparkSession, pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked: excluded by bits, then verified on the sets, made again from the texts."""
-    names = [f"w{i}" for i in range(4)]
-    left = distinct.select(F.col("fp").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
-    right = distinct.select(F.col("fp").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    near = shared_table(spark, pairs.join(left, "a").join(right, "b").filter(apart <= similar_bits(similarity) + MARGIN_BITS).select("a", "b"), "set-near")
-    asked = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "text_hash"), "fp")
+        near = shared_table(spark, asked.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "set-near")
+        if not near.isEmpty():
+            found, sets = _similar_pairs(spark, near, distinct, texts, similarity)
+            old, roots = roots, components(spark, found if roots is None else found.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+            discard(old, sets)
+        discard(near)
+        if picks is None:
+            cells = live.filter("not centre").select("cell", "fp")
+    discard(live, first)
+    return spark.createDataFrame([], "node long, root long") if roots is None else roots
+
+
+def _similar_pairs(spark: SparkSession, near: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose sets are as similar as asked, and the table of sets that they are verified on, made again from the texts."""
+    asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct().join(distinct.select("fp", "place"), "fp")
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             keep = [i for i, (s, fp) in enumerate(zip(sets, b.column(0).to_pylist())) if _set_key(s) == fp]
-            off = np.cumsum([0, *(len(sets[i]) for i in keep)]).astype(np.int32)
-            flat = np.concatenate([*(sets[i] for i in keep), np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["fp", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["fp", "grams"])
 
-    sets = texts.join(asked, "text_hash").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(run, "fp long, grams array<long>")
-    sets = shared_table(spark, sets, "sets")
+    sets = texts.join(asked, "place").select("fp", "text").mapInArrow(run, "fp long, grams array<long>")
+    sets = shared_table(spark, sets.groupBy("fp").agg(F.first("grams").alias("grams")), "sets")
     both = near.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return both.filter(F.col("common") / (F.col("n") + F.col("m") - F.col("common")) >= similarity).select("a", "b")
+    return both.filter(F.col("common") / (F.col("n") + F.col("m") - F.col("common")) >= similarity).select("a", "b"), sets
 
 
 def _named(fps: DataFrame, distinct: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
@@ -307,12 +367,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
-        edges = shared_table(spark, small, "edges")
+        old, edges = edges, shared_table(spark, small, "edges")
+        discard(old)
         now = signature(edges)
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found.shared_path = edges.shared_path
+    return found
 
 
 def _present(name: str, df: DataFrame):
@@ -341,9 +404,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows without an id stay only where their component has no id at all.
     """
-    hashed, key, left, right = fresh(docs, "_text_hash", "_key", "_kept_id", "_kept_hash")
-    marked = docs.withColumn(hashed, F.xxhash64(text_col))
-    found = grouped(marked.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(hashed).alias("hash"))), key, text_col)
-    kept = found.filter(F.col("component_id").isNull() | (F.col(key) == F.col("component_id"))).select(F.col(f"{key}.id").alias(left), F.col(f"{key}.hash").alias(right)).distinct()
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col(left)) & (F.col(hashed) == F.col(right)))
-    return joined.dropDuplicates([left, right]).select(*docs.columns)
+    key, place = fresh(docs, "_key", "_place")
+    found = grouped(docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))), key, text_col)
+    stays = found.filter(F.col("component_id").isNull() | (F.col(key) == F.col("component_id")))
+    stays = stays.select(F.xxhash64(f"{key}.id", f"{key}.hash").alias(place)).distinct()
+    # One key of 64 bits, so that the join and the removal of repetitions share one shuffle of the texts.
+    marked = docs.withColumn(place, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    return marked.join(stays, place).dropDuplicates([place]).select(*docs.columns)

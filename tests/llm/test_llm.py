@@ -168,6 +168,61 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def brute_mix(rows):
+    """(doc_id, size, taken) of each row of (doc_id, size, source), by sorting all copies by their finish time in one list."""
+    sizes, numbers, queues = {}, {}, {}
+    for i, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+        nth = numbers[i, s, n] = numbers.get((i, s, n), -1) + 1
+        key = hashlib.md5(f"{'' if i is None else i}:{n}:{nth}".encode()).hexdigest()
+        queues.setdefault(s, []).append((key, -1 if i is None else i, n, nth))
+    goal, budget = brute_targets(sizes), sum(sizes.values())
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    served = []
+    for rank, s in enumerate(names):
+        queue = sorted(queues[s])
+        for copy in range(3):
+            upto = copy * sizes[s]
+            for entry in queue:
+                upto += entry[2]
+                if goal[s]:
+                    served.append((upto / goal[s], rank, *entry, copy, s))
+    taken = {(s, *entry): 0 for s in queues for entry in queues[s]}
+    total = 0
+    for x in sorted(served, key=lambda x: x[:-1]):
+        total += x[4]
+        if total > budget:
+            break
+        taken[x[-1], x[2], x[3], x[4], x[5]] += x[4]
+    return sorted((k[2], k[3], v) for k, v in taken.items())
+
+
+@pytest.mark.parametrize("ranges", [1 << 12, 2])
+def test_mixing_equals_brute_force(spark, docs, rows, monkeypatch, ranges):
+    """All rows of a source together, then wide ranges of the finish time, so that many rows meet at the cut. One row stands thousands of
+    times, null ids, null and empty texts among them."""
+    from quern.llm import common
+
+    monkeypatch.setattr(mixing, "COARSE", ranges)
+    monkeypatch.setattr(mixing, "FINE", 8 * ranges if ranges == 2 else 1 << 24)
+    monkeypatch.setattr(common, "NUMBERED", 512)
+    monkeypatch.setattr(mixing, "NUMBERED", 512)
+    more = [(7, "a b c", "en", "s1", 0)] * 1500 + [(1, "", "en", "a", 0)] * 700 + [(None, None, "en", None, 0)] * 500 + [(None, "x y", "en", "s2", 0)] * 300
+    every = rows + more
+    df = spark.createDataFrame(every, DOC).repartition(4)
+    got = mixing.mix(df).collect()
+    assert all(0 <= r["copies"] <= 3 for r in got)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.taken) for r in got) == brute_mix([(i, len(words(t)), s) for i, t, _, s, _ in every])
+    out = mixing.mixed_documents(df)
+    want = {}
+    for r in got:
+        want[r.doc_id, r["size"], r.source] = want.get((r.doc_id, r["size"], r.source), 0) + r["copies"]
+    seen = {}
+    for r in out.collect():
+        seen[r.doc_id, len(words(r.text)), r.source] = seen.get((r.doc_id, len(words(r.text)), r.source), 0) + 1
+    assert seen == {k: n for k, n in want.items() if n}
+
+
 def test_mixing_near_targets(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 5), "en", f"s{i % 4}", 0) for i in range(2000)], DOC)
     by = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
@@ -271,30 +326,44 @@ def brute_licenses(text):
         x = license.words(t)
         own = {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
         n = len(x) - 4
-        best = max((len(own & set(shingles[i : i + n])) / len(own) for i in range(len(shingles))), default=0)
+        held = [i for i, s in enumerate(shingles) if s in own]
+        best = max((len(own & set(shingles[i : i + n])) / len(own) for i in held), default=0)
         if best >= license.CONTAINED:
             out[name] = best
     return out
 
 
 def test_licenses_equal_brute_force(spark, empty):
+    """Whole licences and notices, some with changed words, in other text; very long texts too."""
     r = random.Random(4)
-    fill = lambda k: " ".join(r.choice("alpha beta gamma licensed under the of this work".split()) for _ in range(k))
+    fill = lambda k: " ".join(r.choice("alpha beta gamma licensed under the of this work software".split()) for _ in range(k))
     texts = [None, "", "Licensed under", *license.TEMPLATES.values()]
     for _ in range(150):
         t = r.choice(list(license.TEMPLATES.values())).split()
-        if r.random() < 0.5:
+        for _ in range(r.choice([0, 1, 1, len(t) // 30, len(t) // 20])):
             t[r.randrange(len(t))] = "changed"
         texts.append(fill(r.randint(0, 40)) + "\n" + " ".join(t) + " " + fill(r.randint(0, 40)))
-    texts.append(fill(5000) + " Released under the (MIT) License. " + fill(3000))
+    texts.append(fill(60_000) + " Released under the (MIT) License. " + fill(30_000) + license.TEMPLATES["BSD-3-Clause#text"].upper())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id: (x.n_licenses, x.licenses, x.containment) for x in license.scan_licenses(df).collect()}
     for i, t in enumerate(texts):
         want = brute_licenses(t)
-        assert got[i] == (len(want), ",".join(sorted(want)), max(want.values(), default=0.0)), t
+        names = sorted({n.partition("#")[0] for n in want})
+        assert got[i] == (len(names), ",".join(names), max(want.values(), default=0.0)), t
     assert license.scan_licenses(empty).count() == 0
 
 
+def test_license_library():
+    """Every licence is found in its own texts; clauses tell two- and three-clause texts apart."""
+    library = license.Library(license.TEMPLATES)
+    names = list(license.TEMPLATES)
+    for name, found in zip(names, library.scan([license.words(license.TEMPLATES[n]) for n in names])):
+        assert found[name] == 1.0
+    two, three = library.scan([license.words(license.TEMPLATES[f"BSD-{k}-Clause#text"]) for k in (2, 3)])
+    assert two["BSD-2-Clause#text"] == 1.0 and "BSD-3-Clause#text" not in two or two["BSD-3-Clause#text"] < 1.0
+    assert {n.partition("#")[0] for n in names} >= {"MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2", "GPL-3", "LGPL-2.1", "AGPL-3", "MPL-2.0", "CC0-1.0", "Unlicense", "CC-BY-NC-ND-4.0"}
+
+
 # ---- 5: toxicity
 
 
@@ -452,14 +521,45 @@ def test_arc_versions_and_errors():
         w = warc.to_warc(a)
         assert w.headers["WARC-Type"] == "response" and w.headers["WARC-Date"] == "1999-02-03T04:05:06Z" and w.payload.startswith(b"body")
         assert warc.to_warc(b).headers["WARC-Type"] == "resource"
-        back = list(warc.read_warc(warc.write_warc(w) + warc.write_warc(warc.to_revisit(w, "<urn:x>"))))
+        back = list(warc.read_warc(warc.write_warc(w) + warc.write_warc(warc.to_revisit(w, w))))
         assert back[0].block == block and back[0].headers == w.headers and back[1].payload == b"" and back[1].headers["WARC-Type"] == "revisit"
+        assert back[1].headers["WARC-Refers-To"] == w.headers["WARC-Record-ID"] != back[1].headers["WARC-Record-ID"]
+        assert back[1].headers["WARC-Refers-To-Date"] == w.headers["WARC-Date"] and back[1].headers["WARC-Refers-To-Target-URI"] == w.headers["WARC-Target-URI"]
         with pytest.raises(warc.ArchiveError):
             list(warc.read_arc(data[:-20] if version == 1 else data[:120]))
     with pytest.raises(warc.ArchiveError):
         list(warc.read_arc(b"http://x 1 2 3 4\n"))
 
 
+def test_archive_dates():
+    assert warc.iso_date("1997") == "1997-01-01T00:00:00Z" and warc.iso_date("19970312") == "1997-03-12T00:00:00Z" and warc.iso_date("19990203040506") == "1999-02-03T04:05:06Z"
+    for bad in ("", "97", "199x", "19990", "199902030405060"):
+        with pytest.raises(warc.ArchiveError):
+            warc.iso_date(bad)
+
+
+def test_revisits_name_records_that_are_there(spark):
+    """Archives of pages with repeated payloads: each revisit's target is a response in them, of the same payload, URI and date."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(60)], "page_id long, url string, html string").repartition(4)
+    records = [w for r in warc.write_archives(pages, part_bytes=300).collect() for w in warc.read_warc(r.content)]
+    held = {w.headers["WARC-Record-ID"]: w for w in records}
+    assert len(held) == len(records) == 60
+    revisits = [w for w in records if w.headers["WARC-Type"] == "revisit"]
+    assert len(revisits) == 39
+    for w in revisits:
+        target = held[w.headers["WARC-Refers-To"]]
+        assert target.headers["WARC-Type"] == "response" and target.payload == b"same" and target.headers["WARC-Target-URI"] == w.headers["WARC-Refers-To-Target-URI"] == "http://h/1"
+
+
+def test_large_members_are_read_in_pieces():
+    r = random.Random(40)
+    blocks = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 100_000, 5, 70_000)]
+    data = b"".join(warc.write_warc(warc.WarcRecord({"WARC-Type": "resource"}, b)) for b in blocks)
+    assert [w.block for w in warc.read_warc(data)] == blocks
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_warc(data[:-10]))
+
+
 def test_archive_round_trip(spark):
     html = ["<p>é</p>", None, "", "<p>é</p>", "x" * 300_000, "HTTP/1.1 9\r\n\r\n", "<p>é</p>"]
     pages = spark.createDataFrame([(i * 10, f"http://h/{i} z", h, 1) for i, h in enumerate(html)] + [(None, None, "only", 2), (None, "u", "x" * 300_000, 2)], "page_id long, url string, html string, digest int").repartition(3)
@@ -566,7 +666,7 @@ def test_sharding(docs, rows, empty):
     got = {r.doc_id: r for r in sharding.shard(docs).collect()}
     for i, t, *_ in rows:
         data = (t or "").encode()
-        digest = hashlib.md5(f"{i}:{zlib.crc32(data)}".encode()).hexdigest()
+        digest = hashlib.md5(f"{i}:{zlib.crc32(data)}:0".encode()).hexdigest()
         assert (got[i]["size"], got[i].text_crc32, got[i].law, got[i].grown_shard, got[i].virtual_slot) == (len(data) + 1, zlib.crc32(data), "bytes", None, int(digest[:3], 16))
     by = {}
     for r in got.values():
@@ -576,6 +676,42 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def brute_shards(rows, shards=16):
+    """(doc_id, size, crc, shard) of rows of (doc_id, text): slots by digest, then visited from the heaviest on."""
+    slots, numbers, out = {}, {}, []
+    for i, t in rows:
+        data = (t or "").encode()
+        crc = zlib.crc32(data)
+        nth = numbers[i, crc, len(data)] = numbers.get((i, crc, len(data)), -1) + 1
+        slot = int(hashlib.md5(f"{'' if i is None else i}:{crc}:{nth}".encode()).hexdigest()[:3], 16)
+        slots[slot] = slots.get(slot, 0) + len(data) + 1
+        out.append((-1 if i is None else i, len(data) + 1, crc, slot))
+    mean, loads, place = -(-sum(slots.values()) // shards), [0] * shards, {}
+    for slot in sorted(range(4096), key=lambda s: (-slots.get(s, 0), s)):
+        own, size = slot % shards, slots.get(slot, 0)
+        to = own if loads[own] + size <= mean else loads.index(min(loads))
+        loads[to] += size
+        place[slot] = to
+    return sorted((i, n, crc, place[slot]) for i, n, crc, slot in out)
+
+
+def test_sharding_equals_brute_force_on_repeated_rows(spark, docs, rows, monkeypatch):
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "NUMBERED", 300)
+    pairs = [(i, "x" * (i % 50)) for i in range(2000)] + [(7, "one row again and again")] * 2000 + [(None, None)] * 2000
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    got = sharding.shard(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.text_crc32, r.shard) for r in got) == brute_shards(pairs)
+    loads, places = {}, {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(loads) == 16 and max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values()) / 16
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert sorted((r.doc_id, r["size"], r.text_crc32, r.shard) for r in sharding.shard(docs).collect()) == brute_shards([(i, t) for i, t, *_ in rows])
+
+
 def test_sharding_balances_and_moves_little(spark):
     df = spark.createDataFrame([(i, "x" * (i * 7919 % 997)) for i in range(6000)], "doc_id long, text string")
     loads = [r.b for r in sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -684,6 +820,19 @@ def brute_similar(texts, similarity=0.8):
     return {i: find(i) for i in sets}
 
 
+def test_set_counts_bound_the_differing_shingles():
+    """The Manhattan distance of the segments' popcounts, from both representations, against the sets; sizes beyond HIGHEST too."""
+    r = np.random.default_rng(30)
+    for n in (0, 3, 50, 400, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[r.random(len(a)) < share], r.integers(0, 1 << 64, int(n * (1 - share)), dtype=np.uint64)]))
+            x, y = simhash.set_counts(a), simhash.set_counts(b)
+            distance = sum(bin((int(p) ^ int(q)) % (1 << 64)).count("1") for p, q in zip(x, y))
+            counts = [np.minimum(np.histogram((s >> np.uint64(57)).astype(int), np.arange(129))[0], 8) for s in (a, b)]
+            assert distance == np.abs(counts[0] - counts[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def similar(spark, texts):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     return {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
@@ -732,12 +881,12 @@ def test_similar_components_compare_strangers_of_a_cell(spark):
     want = brute_similar(texts)
     assert len(set(want.values())) > 30
     assert similar(spark, texts) == want
-    few = simhash.CENTRES
+    few = simhash.FIRST_ROUNDS, simhash.CENTRES, simhash.CENTRES_GROW, simhash.SMALL_CELL
     try:
-        simhash.CENTRES = 1
+        simhash.FIRST_ROUNDS, simhash.CENTRES, simhash.CENTRES_GROW, simhash.SMALL_CELL = ((1, 0, 2),), 3, 4, 2
         assert similar(spark, texts) == want
     finally:
-        simhash.CENTRES = few
+        simhash.FIRST_ROUNDS, simhash.CENTRES, simhash.CENTRES_GROW, simhash.SMALL_CELL = few
 
 
 # ---- 6: distinct candidates
