@@ -162,8 +162,28 @@ def _unigram_sql():
     SELECT t.conv_id, t.turn, coalesce(string_agg(ids, ' ' ORDER BY n), '') AS ids, t.z AS decoded FROM t LEFT JOIN x ON x.conv_id = t.conv_id AND x.turn = t.turn LEFT JOIN ids ON ids.word = x.word GROUP BY t.conv_id, t.turn, t.z"""
 
 
+def _bpe_sql():
+    """Merges by recursion: the adjacent pair of the best score, the first of equal ones, until no pair is a piece. Words are merged alone, as
+    spaces only begin pieces."""
+    m = model("bpe")
+    known = ", ".join(f"({_literal(p)}, {i})" for i, p in enumerate(m.pieces) if m.kinds[i] == "normal")
+    scores = "list_transform(range(1, len(parts)), lambda i: own[parts[i] || parts[i + 1]])"
+    return f"""WITH RECURSIVE pieces(piece, id) AS (VALUES {known}), o AS MATERIALIZED (SELECT map_from_entries(list((piece, id))) AS own FROM pieces),
+    t AS (SELECT conv_id, turn, CASE WHEN z = '' THEN '' ELSE '▁' || replace(z, ' ', '▁') END AS s, z FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), ' +', ' ', 'g') AS z FROM conversations)),
+    x AS (SELECT conv_id, turn, z, u.word, u.n FROM t, LATERAL (SELECT unnest(list_filter(string_split(replace(s, '▁', chr(1) || '▁'), chr(1)), lambda v: v <> '')) AS word, generate_subscripts(list_filter(string_split(replace(s, '▁', chr(1) || '▁'), chr(1)), lambda v: v <> ''), 1) AS n) u),
+    w AS (SELECT word, list_transform(range(1, len(word) + 1), lambda i: word[i]) AS parts FROM (SELECT DISTINCT word FROM x)),
+    b AS (
+      SELECT word, parts, {scores} AS found FROM w, o
+      UNION ALL
+      SELECT word, parts, {scores} FROM (
+        SELECT word, list_concat(list_append(parts[1:j - 1], parts[j] || parts[j + 1]), parts[j + 2:]) AS parts FROM (SELECT word, parts, list_position(found, list_min(found)) AS j FROM b WHERE list_min(found) IS NOT NULL)), o
+    ),
+    ids AS (SELECT word, array_to_string(list_transform(parts, lambda q: coalesce(own[q]::VARCHAR, array_to_string(list_transform(string_split(trim(regexp_replace(hex(encode(q)), '(..)', '\\1 ', 'g')), ' '), lambda h: (3 + ('0x' || h)::BIGINT)::VARCHAR), ' '))), ' ') AS ids FROM b, o WHERE list_min(found) IS NULL)
+    SELECT t.conv_id, t.turn, coalesce(string_agg(ids, ' ' ORDER BY n), '') AS ids, t.z AS decoded FROM t LEFT JOIN x ON x.conv_id = t.conv_id AND x.turn = t.turn LEFT JOIN ids ON ids.word = x.word GROUP BY t.conv_id, t.turn, t.z"""
+
+
 query(_unigram_sql(), "sp_unigram_encode")(_encoded("unigram"))
-query(None, "sp_bpe_encode")(_encoded("bpe"))
+query(_bpe_sql(), "sp_bpe_encode")(_encoded("bpe"))
 
 
 @query(
