@@ -119,12 +119,12 @@ for _name, (_plan, _expr) in _MODES.items():
 @query(
     f"""WITH {_C}, o AS (SELECT user_id, samples, unnest(range(floor(len(samples) * (11025.0::DOUBLE / 16000) + 0.5)::BIGINT)) AS i FROM c),
     t AS (SELECT *, i / (11025.0::DOUBLE / 16000) AS t0, 32 / (11025.0::DOUBLE / 16000 * 0.97::DOUBLE) AS half, 11025.0::DOUBLE / 16000 * 0.97::DOUBLE AS cut FROM o)
-    SELECT user_id, i::INT AS pos, round(list_sum(list_transform(range(greatest(ceil(t0 - half), 0)::BIGINT, least(floor(t0 + half), len(samples) - 1)::BIGINT + 1), lambda k:
-      samples[k + 1]::DOUBLE * cut * (CASE WHEN t0 = k THEN 1.0::DOUBLE ELSE sin(pi() * cut * (t0 - k)) / (pi() * cut * (t0 - k)) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * (t0 - k) / half))))::FLOAT::DOUBLE, 2) AS v FROM t"""
+    SELECT user_id, i::INT AS pos, coalesce(list_sum(list_transform(range(greatest(ceil(t0 - half), 0)::BIGINT, least(floor(t0 + half), len(samples) - 1)::BIGINT + 1), lambda k:
+      samples[k + 1]::DOUBLE * cut * (CASE WHEN t0 = k THEN 1.0::DOUBLE ELSE sin(pi() * cut * (t0 - k)) / (pi() * cut * (t0 - k)) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * (t0 - k) / half)))), 0)::FLOAT AS v FROM t"""
 )
 def resample_audio(spark, sf_dir):
     done = op.resample(clips(spark, sf_dir), 11025)
-    return done.select("user_id", F.posexplode("samples").alias("pos", "v")).select("user_id", "pos", F.round(F.col("v").cast("double"), 2).alias("v"))
+    return done.select("user_id", F.posexplode("samples").alias("pos", "v"))
 
 
 # Frames that hold samples are made one by one; those after them are silent. Values of the first 16 frames stand alone, the others as

@@ -53,6 +53,11 @@ for _s, _t in (("xyxy", "cxcywh"), ("cxcywh", "xyxy"), ("xywh", "cxcywh"), ("cxc
     )(_converted(_s, _t))
 
 
+@query("SELECT l_suppkey AS img_id, count(*) AS boxes FROM lineitem GROUP BY l_suppkey")
+def box_count(spark, sf_dir):
+    return lineitem_boxes(spark, sf_dir).groupBy("img_id").agg(F.count("*").alias("boxes"))
+
+
 @query(f"WITH {_B} SELECT img_id, idx, ((x2 - x1)::FLOAT * (y2 - y1)::FLOAT)::FLOAT AS area FROM b")
 def box_area(spark, sf_dir):
     return lineitem_boxes(spark, sf_dir).select("img_id", "idx", b.area(BOX).alias("area"))

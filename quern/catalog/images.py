@@ -126,7 +126,7 @@ def _weights(pairs):
     wt AS (SELECT size, outn, f, o, tap, first + tap AS pos, trunc(raw / total * 4194304 + CASE WHEN raw / total < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END)::BIGINT AS w FROM q4 JOIN q5 USING (size, outn, f, o))"""
 
 
-_GRID = [(16, 9, "bicubic"), (12, 20, "bicubic"), (16, 24, "bilinear"), (12, 5, "bilinear"), (100, 37, "box"), (37, 100, "box"), (640, 224, "bicubic"), (224, 640, "bilinear")]
+_GRID = [(16, 9, "bicubic"), (12, 20, "bicubic"), (16, 24, "bilinear"), (12, 5, "bilinear"), (100, 37, "box"), (37, 100, "box"), (640, 224, "bicubic"), (224, 640, "bilinear"), (64, 20, "lanczos"), (20, 64, "hamming"), (90, 31, "hamming"), (31, 90, "lanczos")]
 
 
 @query(f"WITH {_weights(_GRID)} SELECT size, outn, f, o AS out, tap, pos, w FROM wt WHERE w <> 0")
