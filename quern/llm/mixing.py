@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBERED, fresh, numbered, shared_table, word_count
+from .common import NUMBERED, discard, fresh, numbered, shared_table, word_count
 
 MAX_COPIES = 3
 #: Ranges of the digest (three hexadecimal digits).
@@ -108,7 +108,9 @@ def _mixed(rows: DataFrame) -> DataFrame:
         edge = copies.filter(F.floor(F.least(F.col("finish"), F.lit(4.0)) * FINE) == fine).withColumn("served", F.sum("size").over(order) + start)
         extra = edge.filter(F.col("served") <= budget).groupBy("doc_id", "source", "size", "nth").agg(F.count("*").alias("extra"))
         whole = whole.alias("q").join(extra.alias("e"), F.expr("q.doc_id <=> e.doc_id and q.source <=> e.source and q.size = e.size and q.nth = e.nth"), "left").select("q.*", F.coalesce("extra", F.lit(0)).alias("extra")).withColumn("copies", F.col("copies") + F.col("extra"))
-    return whole.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"))
+    out = whole.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.col("copies").cast("int").alias("copies"))
+    out.held = rows, queued  # the tables that it reads
+    return out
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -124,7 +126,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # Two hashes of the whole row stand for it, so that sizes are counted once and everything but the last join goes without texts.
     tags = (F.xxhash64(*names), F.xxhash64(F.lit(1), *names))
     slim = shared_table(spark, docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tags[0].alias("tag"), tags[1].alias("twin")), "mix-slim")
-    mixed = _mixed(slim.select("doc_id", "source", "size")).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).filter("c > 0")
+    queue = _mixed(slim.select("doc_id", "source", "size"))
+    mixed = queue.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).filter("c > 0")
     same = slim.groupBy("doc_id", "source", "size", "tag", "twin").agg(F.count("*").alias("rows"))
     found = same.alias("s").join(mixed.alias("m"), F.expr("s.doc_id <=> m.doc_id and s.source <=> m.source and s.size = m.size")).select("s.*", "c", "n")
     earlier = Window.partitionBy("doc_id", "source", "size").orderBy("tag", "twin").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,6 +136,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     whole = found.filter("rows = n").select("tag", "twin", "rows", F.col("c").alias("times"))
     parts = found.filter("rows < n").select("tag", "twin", "rows", share.alias("times"))
     shares = shared_table(spark, whole.unionByName(parts).filter("times > 0"), "mix-shares")
+    discard(slim, *queue.held)
     marked = docs.withColumn(tag, tags[0]).withColumn(twin, tags[1])
 
     def taken(some: DataFrame) -> DataFrame:
