@@ -34,7 +34,7 @@ CACHE_WORDS = 800_000
 _NONE = 1 << 60
 #: Code points that a version of Unicode can give a class, a lower case or a composition: planes 0 to 3 without surrogates, and tags. All
 #: others are unassigned or private.
-_CODE_POINTS = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
+_CODE_POINTS = (range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE1000))
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class Characters:
         """The tables of the installed tokenizers library, by probing every code point that can be in them."""
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        text = "".join(map(chr, _CODE_POINTS))
+        text = "".join(map(chr, chain(*_CODE_POINTS)))
 
         def ranges(pattern: str) -> str:
             runs = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(text)
@@ -65,7 +65,8 @@ class Characters:
             if small(part) != part:
                 lower |= {ord(c): low for c in part if (low := small(c)) != c}
         inert, known = set(), set()
-        for c, x in zip(_CODE_POINTS, text):
+        for x in text:
+            c = ord(x)
             if unicodedata.combining(x):
                 # A mark that sorts after U+0323 or before U+0345 shows its class by moving there.
                 if any(composed(t) != unicodedata.normalize("NFC", t) for t in (f"a{x}\u0323", f"a\u0345{x}")):
@@ -181,14 +182,14 @@ class WordBpe:
         self.lower = characters.lower
         self.inert = re.compile("([" + "".join(map(re.escape, map(chr, sorted(characters.inert)))) + "])") if characters.inert else None
         # str.split() and str.lower() are faster, and the same unless a text has one of these.
-        self.odd_space = [chr(c) for c in _CODE_POINTS if chr(c).isspace() != bool(self.spaces.match(chr(c)))]
-        odd_case = [chr(c) for c in _CODE_POINTS if chr(c).lower() != self.lower.get(c, chr(c))] + ["Σ"]
+        self.odd_space = [chr(c) for c in chain(*_CODE_POINTS) if chr(c).isspace() != bool(self.spaces.match(chr(c)))]
+        odd_case = [chr(c) for c in chain(*_CODE_POINTS) if chr(c).lower() != self.lower.get(c, chr(c))] + ["Σ"]
         self.odd_case = re.compile("[" + "".join(map(re.escape, odd_case)) + "]")
         self.plain_latin = min(map(ord, odd_case)) > 255 and min(characters.inert, default=256) > 255
         self.texts: dict[int, str] = {i: str(i) for i in self.tokens}
         self.same = {i: i for i in self.tokens}  # one object for each id, however many words hold it
-        self.runs: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def word(self, w: str) -> list[int]:
         data = w.encode("utf-8", "replace")
@@ -233,13 +234,13 @@ class WordBpe:
             for r in set(runs).difference(known):
                 ids = self.before.get(r)
                 if ids is None:
-                    ids = []
+                    ids = ()
                     for w in (r,) if r.isascii() and r.isalpha() else self.pattern.findall(r):
                         got = known.get(w) or self.before.get(w)
                         if got is None:
-                            got = known[w] = self.word(w)
+                            got = known[w] = tuple(self.word(w))
                         ids = ids + got
-                known[r] = ids
+                known[r] = tuple(ids)
             out.extend(chain.from_iterable(map(known.__getitem__, runs)))
         return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,14 +105,36 @@ def word_count(text) -> "F.Column":
 
 
 _held: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def release() -> None:
+    """On a worker: give memory that is free again back to the system; allocators keep it otherwise, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def hold(owner: str, forget: Callable[[], None] | None = None) -> None:
     """On a worker: what other operators remember there is forgotten, so that one operator's memory is held at a time."""
+    global _owner
     for name in [n for n in _held if n != owner]:
         _held.pop(name)()
     if forget is not None:
         _held[owner] = forget
+    if owner != _owner:
+        _owner = owner
+        gc.collect()
+        release()
+
+
+def slices(batches, rows: int = 1024):
+    """Batches in parts of few rows, so that what is made of a part is small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_offsets, discard, fresh, gram_hashes, hash_words, mix64, prepare, shared_table
+from .common import byte_offsets, discard, fresh, gram_hashes, hash_words, hold, mix64, prepare, shared_table, slices
 
 SHINGLE = 3
 GROUPS = 4
@@ -178,7 +178,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent, rank = _frequent(docs, text_col)
 
     def run(batches):
-        for b in batches:
+        hold("simhash")
+        for b in slices(batches):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             bits = [_majority(s, 4) for s in sets]
             prefixes = [_prefix(s, similarity, frequent, rank) for s in sets]
@@ -271,7 +272,8 @@ def _similar_pairs(spark: SparkSession, near: DataFrame, distinct: DataFrame, te
     asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct().join(distinct.select("fp", "place"), "fp")
 
     def run(batches):
-        for b in batches:
+        hold("simhash")
+        for b in slices(batches):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             keep = [i for i, (s, fp) in enumerate(zip(sets, b.column(0).to_pylist())) if _set_key(s) == fp]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["fp", "grams"])

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_offsets, fresh, gram_hashes, hash_words, hold, prepare, sliding_min
+from .common import byte_offsets, fresh, gram_hashes, hash_words, hold, prepare, release, sliding_min
 
 THRESHOLD = 13
 GRAM = 5
@@ -349,13 +349,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, threshold: int, schema,
 
     def send(t: pa.Table) -> pa.Table:
         hold("substring")
+        release()
         rows = _unwrap(t["rows"])
         return _send(Block(rows[id_col].to_pylist(), rows[text_col].to_pylist(), threshold, hot), t["_block"][0].as_py(), shards)
 
     def answer(t: pa.Table) -> pa.Table:
+        release()
         return _answer(t, threshold)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         left = _unwrap(left["rows"]).select(names)
         ids = left[id_col].to_pylist()
         block = Block(ids, left[text_col].to_pylist(), threshold, hot)
