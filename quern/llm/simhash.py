@@ -16,10 +16,11 @@ Copies collapse first: everything after the fingerprints works on distinct finge
 Near copies of a lower similarity differ in more of these bits than any grid of counts can span without missing pairs: at a Jaccard
 similarity of 0.8 about 39 of 256 bits differ. `similar_components` takes as fingerprint the set of five-word shingles itself: one bit for each
 64-bit hash. Its segments are HISTOGRAM ranges of hashes, and their popcounts embed it: the Manhattan distance of two vectors is a lower bound
-of the number of shingles that only one text has, which is the Hamming distance, and the similarity bounds that number. The cells of the
+of the number of shingles that only one text has, which is the Hamming distance, and the similarity bounds that number. The parities of
+finer ranges' popcounts bound it too, closely for texts of up to about a thousand words. The cells of the
 join are not ranges of counts but prefixes: in one order of all shingles, two sets of a similarity of t or more share one of the first
 n - ceil(t n) + 1 of each, so no pair is missed, at any table size. Shingles that are frequent in a bounded sample come last in the
-order; the sample decides the cells only, never the result. Cells with the same members are one. A large cell's members are compared
+order; the sample decides the cells only, never the result. Cells that share most of their members become one. A large cell's members are compared
 with a few centres, links contract, the centres leave, and rounds go on until no cell holds members of two components. Pairs within the
 bound, and within 256 SimHash bits with a wide margin, are accepted by the exact similarity of the sets.
 """
@@ -50,6 +51,8 @@ FIRST_ROUNDS = ((1, 0, 4), (2, 16, 64))
 CENTRES, CENTRES_GROW, SMALL_CELL = 256, 64, 1024
 #: Segments of the set's fingerprint, and the popcount of one that still counts (more count as that many, which keeps the bound).
 HISTOGRAM, HIGHEST = 128, 8
+#: Ranges of shingle hashes whose counts' parities are kept, a bit each.
+PARITY = 2048
 #: Bits of 256 allowed beyond those expected before the sets are compared: over seven standard deviations of large sets, over five of
 #: sets of a few shingles, whose ties move more bits.
 MARGIN_BITS = 46
@@ -146,8 +149,9 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 _WIDE = [f"w{i}" for i in range(4)]
 _COUNTS = [f"h{i}" for i in range(HISTOGRAM * HIGHEST // 64)]
+_PARITY = [f"p{i}" for i in range(PARITY // 64)]
 #: What a member brings to be compared.
-_OWN = ["n", *_WIDE, *_COUNTS]
+_OWN = ["n", *_WIDE, *_COUNTS, *_PARITY]
 _UNARY = np.array([(1 << k) - 1 for k in range(HIGHEST + 1)], np.uint8)
 
 
@@ -158,6 +162,14 @@ def set_counts(grams: np.ndarray) -> np.ndarray:
     return _UNARY[np.minimum(counts, HIGHEST)].view("<i8")
 
 
+def set_parity(grams: np.ndarray) -> np.ndarray:
+    """Whether each of PARITY ranges of a set's fingerprint has an odd popcount, a bit each, as signed words: a differing bit of the
+    fingerprint changes one of them, so the number of differing bits of two such vectors is a lower bound of the differing shingles, and
+    close to it while these are few beside PARITY."""
+    odd = np.bincount((grams & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     """Arrays of unsigned hashes as a list<long> column."""
     off = np.cumsum([0, *map(len, parts)]).astype(np.int32)
@@ -186,35 +198,48 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             keys, sizes = pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             words = [pa.array([r[i] for r in bits], pa.int64()) for i in range(4)]
             counts = [pa.array(c) for c in np.array([set_counts(s) for s in sets], np.int64).reshape(len(sets), len(_COUNTS)).T.copy()]
+            odd = [pa.array(c) for c in np.array([set_parity(s) for s in sets], np.int64).reshape(len(sets), len(_PARITY)).T.copy()]
             cells = [_lists([p[i] for p in prefixes]) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys, sizes, *words, *counts, *cells], ["id", "place", "fp", "n", *_WIDE, *_COUNTS, "cells", "common"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys, sizes, *words, *counts, *odd, *cells], ["id", "place", "fp", *_OWN, "cells", "common"])
 
-    longs = [T.StructField(n, T.LongType()) for n in ("place", "fp", "n", *_WIDE, *_COUNTS)]
+    longs = [T.StructField(n, T.LongType()) for n in ("place", "fp", *_OWN)]
     lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("cells", "common")]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, *lists])
     # A row's place is a hash of its id and text: of each set one place tells where its text is read again.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
     fps = shared_table(spark, texts.mapInArrow(run, schema), "set-fps")
     per_set = fps.groupBy("fp").agg(
-        F.min(_present("id", fps)).alias("rep"), F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", *_WIDE, *_COUNTS, "cells", "common")]
+        F.min(_present("id", fps)).alias("rep"), F.min("place").alias("place"), *[F.first(c).alias(c) for c in (*_OWN, "cells", "common")]
     )
     distinct = shared_table(spark, per_set, "set-distinct")
     linked = _linked_sets(spark, _set_cells(distinct), distinct, texts.select("text", "place"), similarity)
     return _named(fps.select("id", "fp"), distinct.select("fp", "rep"), linked, id_col)
 
 
+def _least(seed: int):
+    """What a cell is merged by: the least of its members in the order of a hash."""
+    return F.min(F.xxhash64("fp", F.lit(seed)))
+
+
+def _merged(members: DataFrame, seed: int) -> DataFrame:
+    """(cell, fp) with the cells of one least member made one; the least ones are combined before the shuffle."""
+    return members.join(members.groupBy("cell").agg(_least(seed).alias("least")), "cell").select(F.col("least").alias("cell"), "fp").distinct()
+
+
 def _set_cells(distinct: DataFrame) -> DataFrame:
-    """(cell, fp, pick) of cells with two members or more; pick numbers a set's cells in the order of a hash.
+    """(cell, fp, pick) of the cells to compare in; pick numbers a set's cells in the order of a hash.
 
-    A cell that is not frequent is named by the XOR of its members' hashes, so that cells with the same members, which near copies have by
-    the dozen, become one. It is small, which the sample shows, and a window sees it whole. Frequent cells, which can hold
-    any share of the rows, are taken as they are.
+    Near copies share their cells by the dozen, with members that differ a little, and a pair would be met in each. So cells with the same
+    least member, in the order of a hash, become one that has the members of all: two cells agree in it with a chance equal to the share of
+    members that they have in common, so those of one group merge and those of strangers do not. Merged cells merge once more by
+    another hash. No pair that shared a cell is lost. A cell that is not frequent is small, which the sample shows, and a window sees it
+    whole; those of one member go. Frequent cells can hold any share of the rows.
     """
     of_cell = Window.partitionBy("cell")
     rare = distinct.select("fp", F.explode("cells").alias("cell"))
-    rare = rare.select("fp", F.min("fp").over(of_cell).alias("low"), F.max("fp").over(of_cell).alias("high"), F.bit_xor(F.xxhash64("fp")).over(of_cell).alias("cell"))
+    rare = rare.select("fp", F.min("fp").over(of_cell).alias("low"), F.max("fp").over(of_cell).alias("high"), _least(0).over(of_cell).alias("cell"))
     rare = rare.filter("low < high").select("cell", "fp").distinct()
-    members = rare.union(distinct.select(F.explode("common").alias("cell"), "fp"))
+    members = _merged(rare.union(_merged(distinct.select(F.explode("common").alias("cell"), "fp"), 0)).distinct(), 1)
     return members.withColumn("pick", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("cell"), "cell")))
 
 
@@ -249,11 +274,12 @@ def _linked_sets(spark: SparkSession, cells: DataFrame, distinct: DataFrame, tex
             continue
         x, y = live.filter("centre").alias("x"), live.alias("y")
         differing = lambda names: sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
+        most = (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-9
         asked = x.join(y, F.col("x.cell") == F.col("y.cell")).filter(
             (F.col("x.root") != F.col("y.root")) & (~F.col("y.centre") | (F.col("x.fp") < F.col("y.fp")))
             & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
-            & (differing(_COUNTS) <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-9)
             & (differing(_WIDE) <= similar_bits(similarity) + MARGIN_BITS)
+            & (differing(_COUNTS) <= most) & (differing(_PARITY) <= most)
         )
         near = shared_table(spark, asked.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "set-near")
         if not near.isEmpty():

@@ -889,6 +889,46 @@ def test_similar_components_compare_strangers_of_a_cell(spark):
         simhash.FIRST_ROUNDS, simhash.CENTRES, simhash.CENTRES_GROW, simhash.SMALL_CELL = few
 
 
+def test_set_parity_bounds_the_differing_shingles():
+    """Never more than the sets differ by, and near it where that is few."""
+    r = np.random.default_rng(34)
+    for n in (0, 3, 400, 5000):
+        for share in (0.0, 0.9, 1.0):
+            a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[r.random(len(a)) < share], r.integers(0, 1 << 64, int(n * (1 - share)), dtype=np.uint64)]))
+            distance = sum(bin((int(p) ^ int(q)) % (1 << 64)).count("1") for p, q in zip(simhash.set_parity(a), simhash.set_parity(b)))
+            differing = len(np.setxor1d(a, b))
+            assert distance <= differing and (differing > 100 or distance >= 0.8 * differing)
+
+
+def test_similar_components_hand_on_few_pairs(spark, monkeypatch):
+    """A group of one template just below the limit: its pairs share few cells, and few that are no links are handed on."""
+    r = random.Random(34)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(80):
+        copy = list(base)
+        for k, at in enumerate(r.sample(range(0, 400, 5), 6)):
+            copy[at] = f"only{i}x{k}"
+        texts[i] = " ".join(copy)
+    met, handed = [], []
+    linked, verified = simhash._linked_sets, simhash._similar_pairs
+
+    def with_cells(spark, cells, *rest):
+        met.extend(x["count"] for x in cells.groupBy("cell").count().collect())
+        return linked(spark, cells, *rest)
+
+    def with_pairs(spark, near, *rest):
+        handed.append(near.count())
+        return verified(spark, near, *rest)
+
+    monkeypatch.setattr(simhash, "_linked_sets", with_cells)
+    monkeypatch.setattr(simhash, "_similar_pairs", with_pairs)
+    assert similar(spark, texts) == brute_similar(texts)
+    pairs = 80 * 79 / 2
+    assert sum(n * (n - 1) / 2 for n in met) <= 4 * pairs and sum(handed) <= 0.15 * pairs
+
+
 # ---- 6: distinct candidates
 
 
