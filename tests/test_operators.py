@@ -157,3 +157,15 @@ def test_encode_padded_longest_whole_cuts_nothing(spark, duck):
     assert max(longest.values()) > 1000
     got = {r.doc_id: (r.ids.split(), r.ones) for r in catalog.QUERIES["encode_padded_longest_whole"](spark, SF).collect()}
     assert got == {i: (["1", *v, "2"] + ["0"] * (longest[i % 10] - len(v) - 2), len(v) + 2) for i, v in ids.items()}
+
+
+def test_blocks_are_written_to_the_shuffle_once(spark):
+    """A row was sent once for every block of the other table."""
+    from quern.operators.cluster import dot_rows, radius_neighbors
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(90)], "vec_id long, embedding array<float>")
+    for df in (dot_rows(rows, rows, block_rows=10), radius_neighbors(rows, 0.5, block_rows=10)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapCoGroups" not in plan
+    got = {(r.a_id, r.b_id): r.dot for r in dot_rows(rows, rows, block_rows=10).collect()}
+    assert got == {(i, j): float((i % 7) * (j % 7) + (i % 5) * (j % 5)) for i in range(90) for j in range(90)}
