@@ -169,3 +169,14 @@ def test_blocks_are_written_to_the_shuffle_once(spark):
         assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapCoGroups" not in plan
     got = {(r.a_id, r.b_id): r.dot for r in dot_rows(rows, rows, block_rows=10).collect()}
     assert got == {(i, j): float((i % 7) * (j % 7) + (i % 5) * (j % 5)) for i in range(90) for j in range(90)}
+
+
+def test_pairs_of_small_tables_are_dealt_out(spark):
+    """A table small enough to be broadcast left all pairs to the tasks that read the file: one."""
+    from quern.operators.detect import pairwise_iou
+
+    boxes = spark.range(4000).selectExpr("id % 40 AS img_id", "id AS idx", "CAST(id % 9 AS FLOAT) AS x1", "CAST(id % 7 AS FLOAT) AS y1", "CAST(10 AS FLOAT) AS x2", "CAST(10 AS FLOAT) AS y2").coalesce(1)
+    done = pairwise_iou(boxes, boxes, ["img_id"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert done.count() == 40 * 100 * 100
