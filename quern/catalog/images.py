@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import image as op
 from ..plans.image import ImageProcessor, Size, TileProcessor
-from ..session import prepare
+from ..session import prepare, spread
 from ..sources import media
 from . import query, table
 
@@ -93,7 +93,8 @@ IMG = ["img_id"]
 
 def pixels(spark, sf_dir):
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", to(12).alias("y")).select("*", to(16).alias("x")).select("*", to(3).alias("c"))
+    # Dealt by image, so sums over pixels of an image need no further shuffle and a task holds few of them.
+    s = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", to(12).alias("y")).select("*", to(16).alias("x")).select("*", to(3).alias("c"))
     return s.selectExpr("s_suppkey AS img_id", "y", "x", "c", f"{_V} AS v")
 
 
@@ -106,7 +107,7 @@ def images(spark, sf_dir):
             made = [op.pack(((k * 31 + y * 17 + x * 29 + c * 53 + x * y * 7) % 256).astype(np.uint8)) for k in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, op._PIXELS)], ["img_id", "image"])
 
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id")).mapInArrow(run, f"img_id long, image {op.IMAGE_DDL}")
+    return spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("img_id"))).mapInArrow(run, f"img_id long, image {op.IMAGE_DDL}")
 
 
 def _weights(pairs):

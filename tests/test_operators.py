@@ -180,3 +180,28 @@ def test_pairs_of_small_tables_are_dealt_out(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert done.count() == 40 * 100 * 100
+
+
+def test_pixels_of_a_large_image_are_read_once(spark):
+    """Each pixel once had the whole image turned into hexadecimal digits again: this one would not end."""
+    from quern.operators import image as op
+
+    x = np.random.default_rng(0).integers(0, 256, (310, 290, 3)).astype(np.uint8)
+    assert x.size > 4 * op.PART
+    df = spark.createDataFrame([(7, (290, 310, bytearray(x.tobytes()))), (8, (0, 0, bytearray())), (9, None), (10, (1, 2, bytearray(b"ab")))], f"img_id long, image {op.IMAGE_DDL}")
+    done = op.explode_pixels(df, ["img_id"])
+    assert "hex(" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {f.name: f.dataType.simpleString() for f in done.schema} == {"img_id": "bigint", "y": "int", "x": "int", "c": "int", "v": "int"}
+    t = done.orderBy("img_id", "y", "x", "c").toArrow()
+    assert t["img_id"].to_pylist() == [7] * x.size + [10, 10] and t["v"].to_pylist()[-2:] == [97, 98] and t["y"].to_pylist()[-2:] == [0, 1]
+    y, at, c = (t[k].to_numpy()[:-2] for k in "yxc")
+    assert np.array_equal(t["v"].to_numpy()[:-2], x[y, at, c]) and np.array_equal((y * 290 + at) * 3 + c, np.arange(x.size))
+
+
+@pytest.mark.parametrize("name", ["letterbox_pixels", "resize_pixels", "tile_pixels", "resize_nearest", "resize_no_antialias", "resize_kernel_hamming", "resize_kernel_box"])
+def test_images_of_a_small_file_are_dealt_out(spark, tmp_path, name):
+    """All images were made in the one task that reads the file; sums over pixels were shuffled pixel by pixel."""
+    spark.range(200).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    done = catalog.QUERIES[name](spark, str(tmp_path))
+    assert done.select("img_id", F.spark_partition_id().alias("p")).distinct().groupBy("img_id").count().agg(F.max("count")).first()[0] == 1
+    assert done.select(F.spark_partition_id()).distinct().count() >= 8
