@@ -223,3 +223,28 @@ def test_crops():
     tall = ocr.crop_text_line(x, np.array([[5, 6], [10, 6], [10, 26], [5, 26]]))
     assert tall.shape == (5, 20, 3) and (tall == np.rot90(x[6:26, 5:10])).all()
     assert (ocr.cubic_table().sum((2, 3)) == 32768).all()
+
+
+def test_whisper_features_of_silent_frames():
+    """Frames after the last sample were transformed one by one; those that are left are as in the whole transform."""
+    import time
+
+    from quern.kernels import audio
+    from quern.plans.audio import MelSpectrogram, WhisperFeatures
+
+    rng, w = np.random.default_rng(3), WhisperFeatures(80)
+    for n in (0, 1, 2, 67, 199, 200, 201, 16000, 479_000, 479_399, 479_400, 479_600, 480_000, 500_000):
+        x = rng.uniform(-1, 1, n).astype(np.float32)
+        m = audio.mel_spectrogram(audio.pad_or_truncate(x, w.n_samples), MelSpectrogram.whisper(80))[:, :-1]
+        want = (np.maximum(m, m.max() - np.float32(8)) + np.float32(4)) / np.float32(4)
+        got = audio.whisper_features(x, w)
+        assert got.dtype == np.float32 and got.shape == (80, 3000) and np.abs(got - want).max() <= 1e-6
+    whole, short = [], []
+    for _ in range(5):
+        at = time.process_time()
+        audio.mel_spectrogram(np.zeros(w.n_samples, np.float32), MelSpectrogram.whisper(80))
+        whole.append(time.process_time() - at)
+        at = time.process_time()
+        audio.whisper_features(np.ones(67, np.float32), w)
+        short.append(time.process_time() - at)
+    assert min(short) < min(whole) / 4
