@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.ocr import DbDecoder
 from ..operators import ocr as op
+from ..session import spread
 from . import query, table
 from .images import images
 
@@ -16,7 +17,7 @@ _TURN = [[(i * s + r) % 4 for i in range(4)] for r, s in ((0, 1), (1, 1), (2, 3)
 def quads(spark, sf_dir):
     q = lambda order: "array(" + ", ".join(f"named_struct('x', CAST({_X[i]} AS FLOAT), 'y', CAST({_Y[i]} AS FLOAT))" for i in order) + ")"
     cases = " ".join(f"WHEN {k} THEN {q(o)}" for k, o in enumerate(_TURN))
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE p_partkey % 4 {cases} END AS quad")
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), rows=1 << 14).selectExpr("p_partkey", f"CASE p_partkey % 4 {cases} END AS quad")
 
 
 _Q = "q AS (SELECT p_partkey, CASE p_partkey % 4 " + " ".join("WHEN " + str(k) + " THEN [" + ", ".join(f"struct_pack(x := CAST({_X[i]} AS FLOAT), y := CAST({_Y[i]} AS FLOAT))" for i in o) + "]" for k, o in enumerate(_TURN)) + " END AS quad FROM part)"
@@ -72,7 +73,8 @@ def fill_poly(spark, sf_dir):
     x0, y0 = F.col("p_partkey") % 20, F.col("p_partkey") % 13
     x1, y1 = x0 + F.col("p_size") % 17, y0 + F.col("p_size") % 11
     corner = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
-    return op.fill_poly(table(spark, sf_dir, "part").select("p_partkey", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points")), 32, 24)
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), rows=1 << 14)
+    return op.fill_poly(part.select("p_partkey", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points")), 32, 24)
 
 
 def _clipped(w, h):

@@ -11,7 +11,7 @@ from ..functions.boxes import f32
 from ..functions.geometry import let
 from ..kernels import ocr as k
 from ..session import prepare
-from .image import IMAGE_DDL, _PIXELS, pack
+from .image import IMAGE_DDL, _PIXELS, pack, slices
 
 QUAD_DDL = "array<struct<x:float,y:float>>"
 _QUAD = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))
@@ -93,7 +93,7 @@ def _rows(df: DataFrame, source: str, fields: str, kinds: list[tuple[str, pa.Dat
     kept = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in df.schema if x.name != source)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):  # values become Python objects, of many times their size
             at = b.schema.get_field_index(source)
             rest = [i for i in range(b.num_columns) if i != at]
             made, origin = [], []
@@ -146,15 +146,25 @@ def box_score(df: DataFrame, prob: str = "prob", quad: str = "quad") -> DataFram
     return _rows(source, "_in", "box_score float", [("box_score", pa.float32())], lambda v: [(k.box_score(_map(v["map"]), _array(v["quad"])),)])
 
 
+def _numbered(df: DataFrame, source: str, f) -> DataFrame:
+    """Every row with `_k` and `_p`, the positions and values of the array of whole numbers that f makes of its source column. The
+    array is what is sent; its rows are made in the JVM."""
+    done = _rows(df, source, "_a array<int>", [("_a", pa.list_(pa.int32()))], lambda v: [(f(v).astype(np.int32),)])
+    return done.select(*[c for c in df.columns if c != source], F.posexplode("_a").alias("_k", "_p"))
+
+
 def fill_poly(df: DataFrame, width: int, height: int, points: str = "points") -> DataFrame:
     """The filled pixels (y, x) of each polygon of integer points in a width x height image."""
 
     def one(v):
+        y = [int(p["y"]) for p in v]
+        top, bottom = (min(max(f(y, default=0), 0), height - 1) for f in (min, max))
         m = np.zeros((height, width), np.uint8)
         k.fill_poly(m, [(p["x"], p["y"]) for p in v])
-        return [(int(y), int(x)) for y, x in zip(*np.nonzero(m))]
+        return np.flatnonzero(m[top : bottom + 1]) + top * width
 
-    return _rows(df, points, "y int, x int", [("y", pa.int32()), ("x", pa.int32())], one)
+    done = _numbered(df, points, one)
+    return done.select(*[c for c in df.columns if c != points], F.expr(f"int(_p div {width})").alias("y"), (F.col("_p") % width).alias("x"))
 
 
 def line_pixels(df: DataFrame, width: int, height: int, ends: str = "ends") -> DataFrame:
@@ -162,9 +172,10 @@ def line_pixels(df: DataFrame, width: int, height: int, ends: str = "ends") -> D
 
     def one(v):
         x, y = k.line_pixels(width, height, *((p["x"], p["y"]) for p in v))
-        return list(zip(range(len(x)), x.tolist(), y.tolist()))
+        return y * width + x
 
-    return _rows(df, ends, "k int, x int, y int", [("k", pa.int32()), ("x", pa.int32()), ("y", pa.int32())], one)
+    done = _numbered(df, ends, one)
+    return done.select(*[c for c in df.columns if c != ends], F.col("_k").alias("k"), (F.col("_p") % width).alias("x"), F.expr(f"int(_p div {width})").alias("y"))
 
 
 def reading_order(boxes: DataFrame, group: list[str], quad: str = "quad", idx: str = "idx") -> DataFrame:

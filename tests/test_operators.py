@@ -226,3 +226,36 @@ def test_processors_equal_sql_on_odd_texts(spark, odd_documents, name):
     df = catalog.QUERIES[name](spark, d)
     want = sorted(c.execute(f"select {', '.join(df.columns)} from ({catalog.SQL[name]})").fetchall())
     assert sorted(map(tuple, df.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["fill_poly", "fill_poly_quads", "min_area_rect"])
+def test_quads_of_a_small_file_are_dealt_out(spark, tmp_path, name):
+    """All of them were made in the one task that reads the file, pixels as Python tuples."""
+    spark.range(400).selectExpr("id AS p_partkey", "int(id % 50 + 1) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= 8
+
+
+def test_rows_are_turned_into_objects_a_few_at_a_time(spark, monkeypatch):
+    """A whole Arrow batch of maps was turned into Python numbers at once: the time between its rows says nothing, their number does."""
+    import pyarrow as pa
+
+    from quern.operators import ocr as op
+
+    sizes = []
+
+    class Batches:
+        sparkSession = spark
+
+        class schema(list):
+            pass
+
+    def run(f, ddl):
+        rows = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([{"h": 2, "w": 2, "data": [0.0, 1.0, 1.0, 1.0]}] * 1000)], ["vec_id", "mask"])
+        sizes.extend(b.num_rows for b in f([rows]))
+        return sizes
+
+    df = Batches()
+    df.schema = spark.createDataFrame([], "vec_id long, mask struct<h:int,w:int,data:array<float>>").schema
+    df.mapInArrow = run
+    op.find_contours(df)
+    assert sum(sizes) == 1000 and max(sizes) <= 64
