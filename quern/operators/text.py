@@ -67,6 +67,13 @@ def pad_batch(df: DataFrame, options: TextOptions, pad: int, batch: list[str], i
     return joined.withColumn("attention_mask", m).withColumn(ids, a).drop("_long", "_short")
 
 
+def pad_texts(df: DataFrame, pad: int, batch: list[str], ids: str = "ids", count: str = "ones") -> DataFrame:
+    """As `pad_batch` to the longest, of ids written as text: the padding is one repeated text, not an array of ids and one of the mask,
+    whose ones are the row's own count."""
+    sizes = df.groupBy(*batch).agg(F.max(count).alias("_long"))
+    return df.join(sizes, batch).withColumn(ids, F.concat(ids, F.repeat(F.lit(f" {pad}"), F.col("_long") - F.col(count)))).drop("_long")
+
+
 class TextProcessor:
     """A tokenizer with its options."""
 

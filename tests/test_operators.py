@@ -259,3 +259,32 @@ def test_rows_are_turned_into_objects_a_few_at_a_time(spark, monkeypatch):
     df.mapInArrow = run
     op.find_contours(df)
     assert sum(sizes) == 1000 and max(sizes) <= 64
+
+
+def test_padding_of_texts_is_one_repeated_text(spark, duck):
+    """Padding was an array of ids and one of the mask for each row, of the longest row's length, turned into text id by id."""
+    from quern.operators.text import pad_texts
+
+    df = spark.createDataFrame([(1, "1 7 2", 3, 0), (2, "1 2", 2, 0), (3, "1 5 6 2", 4, 1)], "doc_id long, ids string, ones int, batch int")
+    assert sorted((r.doc_id, r.ids, r.ones) for r in pad_texts(df, 0, ["batch"]).collect()) == [(1, "1 7 2", 3), (2, "1 2 0", 2), (3, "1 5 6 2", 4)]
+    plan = catalog.QUERIES["encode_padded_longest_whole"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan and "attention_mask" not in plan
+
+
+def test_sentencepiece_takes_a_few_texts_at_a_time(spark, monkeypatch):
+    """All texts of an Arrow batch, 10,000 of them, were ids in Python lists at once."""
+    import pyarrow as pa
+
+    from quern.catalog import text
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, ddl):
+            t = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), pa.array(["the tea"] * 300)], ["conv_id", "turn", "text"])
+            return [b.num_rows for b in f([t])]
+
+    monkeypatch.setattr(text, "table", lambda *_: Table())
+    sizes = catalog.QUERIES["sp_unigram_encode"](spark, SF)
+    assert sum(sizes) == 300 and max(sizes) <= 64
